@@ -8,13 +8,16 @@ sketches estimates the similarity and filters, and the exact Jaccard of the full
 
 Nothing is capped, and no list is expanded into all its pairs:
 
+* A small sketch of ``screen`` values screens out documents that share too few of them with
+  anyone; sets, and sketches of ``k`` values, are made for the rest only.
 * Similar sets share at least ``need(size)`` sketch values (five standard deviations below
   what ``similarity`` predicts; for sets smaller than the sketch, exactly).  So a value need
   only be listed among the rarest size - need + 1 of a sketch: passages that very many
   documents share are listed only for documents that hold little else.
 * In each of ``rounds`` passes every list is compared with one head, a star; the links found
-  are contracted into components.  Then only members of different components are paired, which
-  leaves the result exact: a pair inside one component can't change it.
+  are contracted into components.  Then only members of different components are compared, which
+  leaves the result exact: a pair inside one component can't change it.  Long lists are compared
+  block by block in numpy, and only similar pairs come out, as few as connect the same members.
 
 Links and components stay distributed: labels are contracted edge by edge until none is left.
 
@@ -35,7 +38,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
-from .lm import WordHashes, mix
+from .lm import mix
+
+MEMO = 300_000
+
+
+class WordHashes(dict):
+    def __missing__(self, word):
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO:
+            self[word] = h
+        return h
+
 
 _own: list[WordHashes] = []
 
@@ -110,20 +124,22 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, width=5, percent=75, k=64, rounds=2, id_col="doc_id", text_col="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width=5, percent=75, k=256, screen=24, rounds=1, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    ship(docs.sparkSession)
     similarity = percent / 100
-    every = materialise(_sets(docs, width, k, id_col, text_col))
+    ship(docs.sparkSession)
+    every = materialise(_sets(docs, width, screen, id_col, text_col))
     members = every.where("n > 0 and doc_id is not null")
     classes = members.groupBy("sh1", "sh2").agg(F.min("doc_id").alias("rep"))
     reps = members.join(classes.select("sh1", "sh2", F.col("rep").alias("doc_id")), ["sh1", "sh2", "doc_id"], "left_semi")
-    reps = materialise(reps.dropDuplicates(["sh1", "sh2"]).select(F.col("doc_id").alias("rep"), "n", "hashes"))
-    lists = materialise(_lists(reps, k, similarity))
+    reps = reps.dropDuplicates(["sh1", "sh2"]).select(F.col("doc_id").alias("rep"), "n", "hashes")
+    involved = _shared(reps, screen, similarity).select("rep").distinct()
 
-    involved = lists.select("rep").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(involved, F.col("doc_id") == F.col("rep"), "left_semi")
-    full = materialise(_sets(texts, width, None, "doc_id", "text").select(F.col("doc_id").alias("rep"), "hashes").dropDuplicates(["rep", "hashes"]))
+    full = _sets(texts, width, None, "doc_id", "text").where("n > 0")
+    full = materialise(full.select(F.col("doc_id").alias("rep"), "n", "hashes").dropDuplicates(["rep", "hashes"]))
+    reps = full.select("rep", "n", F.slice("hashes", 1, k).alias("hashes"))
+    lists = materialise(_lists(reps, k, similarity))
 
     # rows that share an id are one document
     of = members.select("doc_id", "sh1", "sh2").join(classes, ["sh1", "sh2"]).groupBy("doc_id")
@@ -134,10 +150,10 @@ def near_duplicates(docs: DataFrame, width=5, percent=75, k=64, rounds=2, id_col
         links = materialise(links)
         labels = components(links)
         labelled = lists.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        pairs = _star(labelled, turn) if turn < rounds else _between(labelled)
+        pairs = _star(labelled, turn) if turn < rounds else _between(labelled, full, percent)
         fits = pairs.where((F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na")))
         pairs = fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(_verified(pairs, reps, full, k, percent))
+        links = links.unionByName(_verified(pairs, reps, full.drop("n"), k, percent))
     labels = components(links)
 
     rep = every.join(classes, ["sh1", "sh2"], "left").select("doc_id", "n", "rep")
@@ -146,16 +162,22 @@ def near_duplicates(docs: DataFrame, width=5, percent=75, k=64, rounds=2, id_col
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _lists(reps: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(v, rep, n): the inverted lists of the rarest retained values that candidates must share."""
-    values = reps.select("rep", "n", F.size("hashes").alias("s"), F.explode("hashes").alias("v"))
+def _shared(reps: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(rep, n, vs, least): the sketch values that another representative retained too, rarest
+    first, of those that hold at least as many (least) as a similar one would share."""
+    values = reps.select("rep", F.explode("hashes").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    kept = values.join(often, "v").groupBy("rep", "n", "s").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
+    kept = values.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
     table = F.array(*[F.lit(need(s, k, similarity)) for s in range(k + 1)])
-    least = F.element_at(table, F.col("s") + 1)
-    # values of its own only would come first in the order; they're no one else's
-    front = F.slice("vs", 1, F.greatest(F.size("vs") - least + 1, F.lit(0)))
-    return kept.select("rep", "n", F.explode(front).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
+    sizes = reps.select(F.col("rep").alias("rep2"), "n", F.element_at(table, F.size("hashes") + 1).alias("least"))
+    return kept.join(sizes, F.col("rep") == F.col("rep2")).where(F.size("vs") >= F.col("least")).select("rep", "n", "vs", "least")
+
+
+def _lists(reps: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(v, rep, n): the inverted lists of the rarest retained values that candidates must share.
+    Values of one representative only would come first in the order; they're no one else's."""
+    front = F.slice("vs", 1, F.size("vs") - F.col("least") + 1)
+    return _shared(reps, k, similarity).select("rep", "n", F.explode(front).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
 
 
 def _star(lists: DataFrame, turn: int) -> DataFrame:
@@ -166,13 +188,80 @@ def _star(lists: DataFrame, turn: int) -> DataFrame:
     return out.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h.rep").alias("b"), F.col("h.n").alias("nb"))
 
 
-def _between(lists: DataFrame) -> DataFrame:
-    """Members of a list that lie in different components."""
-    mixed = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-    left = lists.join(mixed, "v", "left_semi")
+def _between(lists: DataFrame, full: DataFrame, percent: int, small=32, block=1024) -> DataFrame:
+    """Members of a list that lie in different components.  Lists of up to ``small`` members are
+    joined with themselves, at most ``small`` rows a member.  Longer lists are dealt into blocks;
+    every two blocks meet in a task that compares their sets and returns only the similar."""
+    mixed = lists.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v", "m")
+    left = lists.join(mixed.where(F.col("m") <= small), "v", "left_semi")
     right = left.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp2"))
-    out = left.join(right, "v").where((F.col("comp") < F.col("comp2")))
-    return out.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb")
+    little = left.join(right, "v").where(F.col("comp") < F.col("comp2")).select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb")
+
+    parts = F.ceil(F.col("m") / block).cast("int")
+    members = lists.join(mixed.where(F.col("m") > small).select("v", parts.alias("parts")), "v")
+    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.select("v", "rep", "n", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = members.join(full.select("rep", "hashes"), "rep")
+
+    def compare(key, t):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, comp, rep = (t[c].to_numpy() for c in ("own", "comp", "rep"))
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = np.zeros((0, 2), np.int64)
+        if len(np.unique(comp)) > 1:
+            flat = t["hashes"].combine_chunks()
+            both, n = overlaps(flat.flatten().to_numpy(), flat.value_lengths().to_numpy(), x, y)
+            near = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
+            u, w = np.nonzero(near)
+            first = spanning(comp[x[u]], comp[y[w]])
+            out = np.stack([rep[x[u[first]]], rep[y[w[first]]]], 1)
+        pairs = np.unique(np.sort(out, 1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    many = members.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
+    size = F.lit(1).cast("long")  # sizes were compared
+    return little.unionByName(many.select("a", size.alias("na"), "b", size.alias("nb")))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of pairs (a, b) that connect all that the pairs connect: fewer than there are ends."""
+    ends, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, out = list(range(len(ends))), []
+    for i, (u, w) in enumerate(zip(code[: len(a)].tolist(), code[len(a) :].tolist(), strict=True)):
+        while up[u] != u:
+            up[u] = u = up[up[u]]
+        while up[w] != w:
+            up[w] = w = up[up[w]]
+        if u != w:
+            up[w] = u
+            out.append(i)
+    return out
+
+
+def overlaps(values: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, width=4096) -> tuple[np.ndarray, np.ndarray]:
+    """Intersection sizes of the sets in rows ``x`` with those in rows ``y``, and all sets' sizes.
+    values: the sets one after another.  Values of one set only can't be shared: they drop out."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, code = row[keep], number[code[keep]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    at = np.full(len(lengths), -1)
+    at_x, at_y = at.copy(), at.copy()
+    at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
+    for a in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(code, [a, a + width])
+        r, c = row[i:j], code[i:j] - a
+        p, q = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+        p[at_x[r[at_x[r] >= 0]], c[at_x[r] >= 0]] = 1
+        q[at_y[r[at_y[r] >= 0]], c[at_y[r] >= 0]] = 1
+        out += p @ q.T
+    return np.rint(out).astype(np.int64), lengths.astype(np.int64)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
