@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import holdout, materialise, ship
 
-MEMO = 400_000
 #: Fixed names of the end token, and of the context before the first word.  No word holds a blank.
 END, START = b" end", b" start"
 LEVELS = 40  # context-frequency buckets
@@ -45,12 +44,12 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
+class Numbers(dict):
+    """Words to numbers, in order of first sight."""
+
     def __missing__(self, word):
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
+        n = self[word] = len(self)
+        return n
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -73,28 +72,42 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """A block's tokens: per token its unigram key and its bigram key (with the token before)."""
+    """A block's tokens.  keys: the sorted hashes of its distinct words (even) and word pairs (odd);
+    word, context and pair: each token's places in them (its own, the one before, both)."""
 
-    def __init__(self, texts: list[bytes], memo: WordHashes):
-        end, start = memo[END], memo[START]
-        counts, parts = [], []
+    def __init__(self, texts: list[bytes]):
+        number = Numbers()
+        end, start = number[END], number[START]
+        sizes, parts, stop = [], [], np.array([end], np.int32)
         for t in texts:
             words = t.lower().split()
-            counts.append(len(words) + 1)
-            parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
-            parts.append(np.array([end], np.uint64))
-        self.n = np.array(counts, np.int64)
-        h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        before = np.empty_like(h)
-        first = np.cumsum(self.n) - self.n
-        before[1:] = h[:-1]
-        before[first] = start
+            sizes.append(len(words) + 1)
+            parts += [np.fromiter(map(number.__getitem__, words), np.int32, len(words)), stop]
+        self.n = np.array(sizes, np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        word = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[self.first] = start
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        del number
+        pairs, pair = np.unique(context.astype(np.int64) << 32 | word, return_inverse=True)
         one = np.uint64(1)
-        self.word, self.context, self.pair = h & ~one, before & ~one, mix(before, h) | one
-        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        odd = mix(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]) | one
+        even = hashes & ~one
+        self.keys, place = np.unique(np.concatenate([even, odd]), return_inverse=True)
+        place = place.astype(np.int32)
+        self.word, self.context = place[word], place[context]
+        self.pair = place[len(even) :][pair]
+        self.start = int(place[start])
+
+    def per_document(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.first) if len(x) else np.zeros(0, x.dtype)
 
-    def keys(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.unique(self.word), np.unique(self.context), np.unique(self.pair)]))
+    def of_documents(self, flags: np.ndarray) -> np.ndarray:
+        """The documents' flags for each token."""
+        return np.repeat(flags, self.n)
 
 
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,12 +154,7 @@ def expectation_maximisation(table: dict[tuple[int, int, int], float], uniform:
     return weights
 
 
-def _levels(counts: np.ndarray, keys: np.ndarray, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = lambda x: counts[np.searchsorted(keys, x)]
-    return at(b.word), at(b.context), at(b.pair)
-
-
-def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", text_col="text", block_docs=8192) -> DataFrame:
+def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", text_col="text", block_docs=4096) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     (add-half unigrams) and score (the model's), both log10 of the text."""
     ship(docs.sparkSession)
@@ -169,30 +177,26 @@ def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", te
 
     def load(t: pa.Table) -> tuple[Block, np.ndarray]:
         z = zstandard.ZstdDecompressor()
-        return Block([z.decompress(x) if x else b"" for x in t["text"].to_pylist()], _memo()), t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        return Block([z.decompress(x) for x in t["text"].to_pylist()]), t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
 
     order = [("doc_id", "ascending"), ("text", "ascending")]
 
     def count(key, t):
         t = t.sort_by(order)
         b, held = load(t)
-        keys = b.keys()
-        train = ~held[b.doc]
-        counts = np.zeros(len(keys), np.uint32)
-        first = np.zeros(len(train), bool)
-        first[np.cumsum(b.n) - b.n] = True
-        for x, of in ((b.word, train), (b.pair, train), (b.context, train & first)):
-            np.add.at(counts, np.searchsorted(keys, x[of]), 1) if of.sum() < 1000 else _add(counts, np.searchsorted(keys, x[of]))
+        keys, train = b.keys, b.of_documents(~held)
+        size = len(keys)
+        counts = np.bincount(b.word[train], minlength=size) + np.bincount(b.pair[train], minlength=size)
+        counts[b.start] = (~held).sum()
+        counts = counts.astype(np.uint32)
         bounds = bucket_bounds(keys, buckets)
         rows = [(p, pack_keys(keys[i:j]), pack_numbers(counts[i:j])) for p, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
-        start = np.searchsorted(keys, np.uint64(_memo()[START]) & ~np.uint64(1))
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
-            "starts": pa.array([int(counts[start]) if len(keys) else 0] * len(rows), pa.int64()),
         })
 
-    sent = d.groupBy("block").applyInArrow(count, "bucket int, block int, keys binary, counts binary, starts long")
+    sent = d.groupBy("block").applyInArrow(count, "bucket int, block int, keys binary, counts binary")
 
     def answer(key, t):
         block = t["block"].to_numpy()
@@ -203,7 +207,7 @@ def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", te
         parts = np.zeros((2, len(every)), np.int64)
         for i, b in enumerate(block):
             parts[int(b % 5 == 0)][place[cut[i] : cut[i + 1]]] += counts[i]
-        start = np.uint64(_memo()[START]) & ~np.uint64(1)
+        start = np.uint64(xxhash.xxh3_64_intdigest(START)) & ~np.uint64(1)
         words = (every & np.uint64(1) == 0) & (every != start)
         both = parts.sum(0)
         tokens, kinds = both[words].sum(), int((both[words] > 0).sum())
@@ -218,11 +222,10 @@ def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", te
     answers = materialise(sent.groupBy("bucket").applyInArrow(answer, "block int, bucket int, counts binary, tokens long, kinds long, retained long, kept_kinds long"))
     totals = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "retained", "kept_kinds")]).first()
 
-    def counted(a: pa.Table, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, 2 x counts of them in the retained and the held-out part)."""
-        a = a.sort_by("bucket")
-        got = [unpack_numbers(x, np.uint32).reshape(2, -1) for x in a["counts"].to_pylist()]
-        return b.keys(), np.concatenate(got, 1).astype(np.int64)
+    def counted(a: pa.Table) -> np.ndarray:
+        """Counts of the block's keys in the retained and in the held-out part."""
+        got = [unpack_numbers(x, np.uint32).reshape(2, -1) for x in a.sort_by("bucket")["counts"].to_pylist()]
+        return np.concatenate(got, 1)
 
     retained, kept_kinds = totals.retained, totals.kept_kinds
 
@@ -230,9 +233,8 @@ def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", te
         """Table of the block's training tokens for the EM."""
         t = t.sort_by(order)
         b, held = load(t)
-        keys, parts = counted(a, b)
-        of = ~held[b.doc]
-        word, context, pair = (x[of] for x in _levels(parts[0], keys, b))
+        counts, of = counted(a)[0].astype(np.int64), b.of_documents(~held)
+        word, context, pair = (counts[x[of]] for x in (b.word, b.context, b.pair))
         with np.errstate(divide="ignore", invalid="ignore"):
             bins = [np.where(x > 0, np.floor(-np.log2(x / np.maximum(y, 1)) / STEP), -1).astype(np.int64) for x, y in ((word, retained), (pair, context))]
         cells, n = np.unique(np.stack([level(context), *bins], 1), axis=0, return_counts=True)
@@ -247,31 +249,19 @@ def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", te
     def score(t, a):
         t = t.sort_by(order)
         b, held = load(t)
-        keys, parts = counted(a, b)
-        word, context, pair = _levels(parts.sum(0), keys, b)
-        w = weights[level(context)]
-        p = w[:, 0] / (kinds + 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] * pair / np.maximum(context, 1)
+        counts = counted(a).sum(0, dtype=np.int64)
+        word, context = counts[b.word], counts[b.context]
+        at = level(context)
+        p = weights[at, 0] / (kinds + 1) + weights[at, 1] * word / max(tokens, 1) + weights[at, 2] * counts[b.pair] / np.maximum(context, 1)
         if not tokens:
             p = np.ones(len(word))
         base = np.log10((word + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        per = lambda x: np.bincount(b.doc, x, minlength=len(t))
+        per = b.per_document
         return pa.table({
-            "doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(b.n, pa.int64()), "n_known": pa.array(per(word > 0).astype(np.int64), pa.int64()),
+            "doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(b.n, pa.int64()), "n_known": pa.array(per((word > 0).astype(np.int64)), pa.int64()),
             "train_tokens": pa.array([tokens] * len(t), pa.int64()), "base_score": pa.array(per(base), pa.float64()), "score": pa.array(per(np.log10(p)), pa.float64()),
         })
 
     out = d.groupBy("block").cogroup(answers.select("block", "bucket", "counts").groupBy("block"))
     return out.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-
-def _add(counts: np.ndarray, at: np.ndarray) -> None:
-    counts += np.bincount(at, minlength=len(counts)).astype(counts.dtype)
-
-
-_own: list[WordHashes] = []
-
-
-def _memo() -> WordHashes:
-    if not _own:
-        _own.append(WordHashes())
-    return _own[0]
