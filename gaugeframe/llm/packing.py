@@ -15,15 +15,17 @@ an empty result.
 from __future__ import annotations
 
 import zlib
+from unicodedata import normalize
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_text
 
 #: Entries of the memo of words; beyond it words are encoded each time.
-MEMO = 300_000
+MEMO = 600_000
 #: White space for Python's split() that the tokenizer's pattern doesn't take for white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -62,29 +64,54 @@ def first_fit_decreasing(lengths, capacity: int) -> tuple[list[int], list[int]]:
 
 class WordEncoder:
     """Ids of whole texts as little-endian bytes.  The tokenizer drops white space and merges
-    within words only, so words are encoded apart and memoised."""
+    within words only, so words are encoded apart and memoised.  New words are encoded many at a
+    time, in one text, and told apart by the ids that end a word: each piece of the tokenizer's
+    pattern has one, and the pattern says how many pieces a word has."""
+
+    #: Fixed value: the tokenizer's pattern, of normalised text.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    LINE = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.memo: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        lines = [new[i : i + self.LINE] for i in range(0, len(new), self.LINE)]
+        for line, data in zip(lines, self.plain([" ".join(line) for line in lines]), strict=True):
+            count = [1 if w.isalpha() and w.lower().isalpha() else len(self.PIECES.findall(w if w.isascii() else normalize("NFC", w))) for w in line]
+            stops = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
+            at = np.cumsum(count)
+            if "<|" in "".join(line) or len(stops) != at[-1] or 0 in count:
+                out += self.plain(line)
+            else:
+                cuts = [0, *stops[at - 1].tolist()]
+                out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 500):
             part = [t.split() if not any(c in t for c in SEPARATORS) else [t] for t in texts[i : i + 500]]
-            new = list({w for ws in part for w in ws if w not in self.memo})
-            fresh = dict(zip(new, self._encode(new), strict=True))
+            new = set().union(*part).difference(self.memo)
+            whole = [w for ws, t in zip(part, texts[i : i + 500], strict=True) if ws == [t] for w in ws if w in new]
+            new = list(new.difference(whole))
+            fresh = dict(zip(new, self.words(new), strict=True)) | dict(zip(whole, self.plain(whole), strict=True))
             if len(self.memo) + len(fresh) <= MEMO:
                 self.memo.update(fresh)
                 known = self.memo
             else:
                 known = _Both(self.memo, fresh)
-            out += [b"".join([known[w] for w in ws]) for ws in part]
+            out += [b"".join(map(known.__getitem__, ws)) for ws in part]
         return out
 
 
