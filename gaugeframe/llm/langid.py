@@ -18,7 +18,6 @@ each get a row; columns other than id, text and lang are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,14 +32,27 @@ UNKNOWN = "und"
 MEMO = 300_000
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Hash buckets of the letter n-grams (1 to 4, with ends marked) of a word's letters."""
-    letters = "".join(c for c in word.lower() if c.isalpha())
-    if not letters:
-        return []
-    w = f"<{letters[:40]}>" if len(letters) > 40 else f"<{letters}>"
-    grams = {w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)} | set(letters[:40])
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams)
+def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash buckets, how many for each word) of the letters of every word, and of their 2-, 3- and
+    4-grams with the word's ends marked, word by word."""
+    letters = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in map(str.lower, words)]
+    sizes = np.array([len(w) + 2 if w else 0 for w in letters], np.int64)
+    code = np.frombuffer("".join(f"<{w}>" for w in letters if w).encode("utf-32-le", "surrogatepass"), np.uint32)
+    after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # characters from here to the word's end
+    word = np.repeat(np.arange(len(words)), sizes)
+    found, owner, h = [], [], np.zeros(len(code), np.uint32)
+    for n in range(1, 5):
+        h = h[: len(code) - n + 1] * np.uint32(0x01000193) ^ (code[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n))
+        fits = after[: len(h)] >= n
+        if n == 1:
+            fits &= (code != ord("<")) & (code != ord(">"))
+        found.append(h[fits])
+        owner.append(word[: len(h)][fits])
+    x = np.concatenate(found)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return ((x ^ (x >> np.uint32(13))) % np.uint32(buckets)).astype(np.int64)[order], np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -50,18 +62,22 @@ class LanguageModel:
     temperature: float
     least: float  # confidence below which an answer is rejected
 
-    def word(self, word: str) -> tuple[float, ...] | None:
-        ids = subwords(word, len(self.logits))
-        return (*self.logits[ids].sum(0), float(len(ids))) if ids else None
+    def words(self, words: list[str]) -> np.ndarray:
+        """Per word the sum of its subwords' logits, and their number."""
+        ids, n = subwords(words, len(self.logits))
+        out = np.zeros((len(words), len(self.labels) + 1))
+        some = n > 0
+        if len(ids):
+            out[some, :-1] = np.add.reduceat(self.logits[ids], (np.cumsum(n) - n)[some], axis=0)
+        out[:, -1] = n
+        return out
 
 
 def _features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    total: Counter = Counter()
-    for word, n in Counter(text.split()).items():
-        for s in subwords(word, buckets):
-            total[s] += n
-    ids = np.fromiter(total, dtype=np.int64, count=len(total))
-    w = np.fromiter(total.values(), dtype=np.float64, count=len(total))
+    count = Counter(text.split())
+    found, n = subwords(list(count), buckets)
+    ids, at = np.unique(found, return_inverse=True)
+    w = np.bincount(at, np.repeat(np.fromiter(count.values(), np.float64, len(count)), n), len(ids))
     return ids, w / max(w.sum(), 1)
 
 
@@ -121,35 +137,40 @@ def fit_sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang
 
 
 class Predictor:
-    """(lang, score, rejected) of whole texts, with a memo of words' logits."""
+    """(lang, score, rejected) of whole texts; a memo holds the sums of words' logits."""
 
     def __init__(self, model: LanguageModel | None):
-        self.model, self.memo = model, {}
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        m, memo = self.model, self.memo
-        if m is None or not text:
-            return UNKNOWN, 0.0, True
-        found = []
-        for w in text.split():
-            if w in memo:
-                got = memo[w]
-            else:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = m.word(w)
-                if len(w) <= 64:
-                    memo[w] = got
-            if got is not None:
-                found.append(got)
-        if not found:
-            return UNKNOWN, 0.0, True
-        total = np.array(found).sum(0)
-        z = total[:-1] / total[-1] / m.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        i = int(p.argmax())
-        return m.labels[i], min(1.0, float(p[i])), bool(p[i] < m.least)
+        self.model, self.place = model, {}
+        self.sums = np.zeros((0, len(model.labels) + 1 if model else 0))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        out = []
+        for i in range(0, len(texts), 500):
+            out += self._few(texts[i : i + 500])
+        return out
+
+    def _few(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        m = self.model
+        if m is None:
+            return [(UNKNOWN, 0.0, True)] * len(texts)
+        words = [t.split() if t else [] for t in texts]
+        if len(self.place) > MEMO:
+            self.place, self.sums = {}, self.sums[:0]
+        new = list(set().union(*words).difference(self.place))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.sums = np.concatenate([self.sums, m.words(new)])
+        out = []
+        for ws in words:
+            total = self.sums[list(map(self.place.__getitem__, ws))].sum(0) if ws else [0.0]
+            if not total[-1]:
+                out.append((UNKNOWN, 0.0, True))
+                continue
+            z = total[:-1] / total[-1] / m.temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            i = int(p.argmax())
+            out.append((m.labels[i], min(1.0, float(p[i])), bool(p[i] < m.least)))
+        return out
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col="doc_id", text_col="text") -> DataFrame:
@@ -162,7 +183,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col="doc_id", text_
         one = Predictor(sent.value)
 
         def f(texts):
-            rows = [one(t) for t in texts]
+            rows = one(texts)
             return {k: [r[i] for r in rows] for i, k in enumerate(names)}
 
         return f
@@ -185,6 +206,6 @@ def keep_sure(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     def run(batches):
         one = Predictor(sent.value)
         for b in batches:
-            yield b.filter(pa.array([not one(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not r[2] for r in one(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
