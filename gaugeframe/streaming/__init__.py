@@ -1,0 +1 @@
+"""No operator of the engine is a streaming one: every input is bounded."""
