@@ -42,25 +42,39 @@ def drop_bridges(boxes: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(page_id, box_id, cluster_id): connected components inside each page, named by the smallest id."""
-
-    def page(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        up = {i: i for i in n.box_id}
-
-        def top(i):
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        for i, j in zip(e.box_id, e.other_id, strict=True):
-            a, b = sorted((top(i), top(j)))
-            up[b] = a
-        return pd.DataFrame({"page_id": n.page_id, "box_id": n.box_id, "cluster_id": [top(i) for i in n.box_id]})
+    """(page_id, box_id, cluster_id): connected components inside each page, named by the smallest id.
+    Pairs are dealt by page and read page after page; a box without a pair is its own component."""
+
+    def solve(d: pd.DataFrame) -> pd.DataFrame:
+        up: dict = {}
+
+        def top(k):
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for page, i, j in zip(d.page_id, d.box_id, d.other_id, strict=True):
+            i, j = (page, i), (page, j)
+            x, y = sorted((top(up.setdefault(i, i)), top(up.setdefault(j, j))))
+            up[y] = x
+        return pd.DataFrame({"page_id": [k[0] for k in up], "box_id": [k[1] for k in up], "cluster_id": [top(k)[1] for k in up]})
+
+    def run(batches):
+        rest = None
+        for d in batches:
+            d = d if rest is None else pd.concat([rest, d], ignore_index=True)
+            last = d.page_id == d.page_id.iloc[-1]  # its pairs may go on in the next batch
+            if not last.all():
+                yield solve(d[~last])
+            rest = d[last]
+        if rest is not None:
+            yield solve(rest)
 
     kind = lambda c: nodes.schema[c].dataType.simpleString()
-    schema = f"page_id {kind('page_id')}, box_id {kind('box_id')}, cluster_id {kind('box_id')}"
-    edges = pairs.select("page_id", "box_id", "other_id").toDF("page_id", "box_id", "other_id")  # columns of its own
-    return nodes.select("page_id", "box_id").groupBy("page_id").cogroup(edges.groupBy("page_id")).applyInPandas(page, schema)
+    edges = pairs.select("page_id", "box_id", "other_id").repartition("page_id").sortWithinPartitions("page_id")
+    found = edges.mapInPandas(run, f"page_id {kind('page_id')}, box_id {kind('box_id')}, cluster_id {kind('box_id')}")
+    out = nodes.select("page_id", "box_id").join(found, ["page_id", "box_id"], "left")
+    return out.withColumn("cluster_id", F.coalesce("cluster_id", "box_id"))
 
 
 def clusters(boxes: DataFrame, ratio: float = 0.6, width: float = 0.0, height: float = 0.0) -> DataFrame:

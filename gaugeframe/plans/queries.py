@@ -56,8 +56,9 @@ RANGE = f"""SELECT *, CASE WHEN regexp_matches(value, '[°''"]') THEN NULL WHEN
 
 @query(spec_sql("value, tolerance, range_min, range_max, CASE WHEN range_max IS NULL THEN 'text' ELSE 'number' END AS input_kind", f"({RANGE})"))
 def parse_range(spark, sf_dir):
-    r = ranges.parse_range(F.col("value"), F.col("tolerance"))
-    return specs(spark, sf_dir, value=F.col("value"), tolerance=F.col("tolerance"), range_min=r.min, range_max=r.max, input_kind=F.when(r.isNotNull(), "number").otherwise("text"))
+    d = specs(spark, sf_dir, value=F.col("value"), tolerance=F.col("tolerance"), r=ranges.parse_range(F.col("value"), F.col("tolerance")))
+    kind = F.when(F.col("r").isNotNull(), "number").otherwise("text")
+    return d.select(*KEY, "value", "tolerance", F.col("r.min").alias("range_min"), F.col("r.max").alias("range_max"), kind.alias("input_kind"))
 
 
 CLASSIFY = r"""CASE WHEN regexp_matches(value, '[Øø]') THEN 'Diameter' WHEN regexp_matches(value, '\bR\d|^R[\d.]') THEN 'Radius'
