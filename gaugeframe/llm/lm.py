@@ -237,8 +237,10 @@ def score_documents(docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", te
         word, context, pair = (counts[x[of]] for x in (b.word, b.context, b.pair))
         with np.errstate(divide="ignore", invalid="ignore"):
             bins = [np.where(x > 0, np.floor(-np.log2(x / np.maximum(y, 1)) / STEP), -1).astype(np.int64) for x, y in ((word, retained), (pair, context))]
-        cells, n = np.unique(np.stack([level(context), *bins], 1), axis=0, return_counts=True)
-        return pa.table({**{k: pa.array(cells[:, i], pa.int64()) for i, k in enumerate(("level", "p1", "p2"))}, "n": pa.array(n, pa.int64())})
+        wide = 1 << 12  # bins: 2**-1024 is the least probability a double holds
+        cells, n = np.unique((level(context) * wide + bins[0] + 1) * wide + bins[1] + 1, return_counts=True)
+        parts = {"level": cells // wide**2, "p1": cells // wide % wide - 1, "p2": cells % wide - 1, "n": n}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in parts.items()})
 
     em = d.where("block % 5 = 0").groupBy("block").cogroup(answers.where("block % 5 = 0").select("block", "bucket", "counts").groupBy("block"))
     cells = em.applyInArrow(held_tokens, "level long, p1 long, p2 long, n long").groupBy("level", "p1", "p2").agg(F.sum("n").alias("n"))
