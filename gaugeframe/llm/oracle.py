@@ -1,3 +1,33 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+W = r"[^\x20\x09-\x0D]+"
+
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, text AS raw FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{W}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{W}')) AS l FROM d),
+tri AS (SELECT r, i, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
+n_rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r),
+line AS (SELECT r, host, raw, lower(array_to_string(regexp_extract_all(x, '{W}'), ' ')) AS h, len(regexp_extract_all(x, '{W}')) AS n FROM (SELECT r, host, raw, unnest(l) AS x FROM w)),
+many AS (SELECT host, h, count(DISTINCT coalesce(raw, '')) AS n FROM line GROUP BY ALL HAVING count(DISTINCT coalesce(raw, '')) >= 20),
+hosts AS (SELECT host, count(DISTINCT coalesce(raw, chr(0))) AS docs FROM d GROUP BY ALL),
+bad AS (SELECT m.host, m.h FROM many m JOIN hosts s ON m.host IS NOT DISTINCT FROM s.host WHERE m.n > 0.2 * s.docs),
+gone AS (SELECT r, sum(line.n) AS n FROM line JOIN bad ON line.host IS NOT DISTINCT FROM bad.host AND line.h = bad.h GROUP BY r),
+x AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_rep.n, 0) AS n_repeat_words, len(w) - coalesce(gone.n, 0) AS n_left
+  FROM w LEFT JOIN n_rep USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= 0.3 * n_words AS kept FROM x
+"""
+
+NEAR = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : least(i + 4, len(w))], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS x FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * x >= 75 * (a.n + b.n - x)),
+c(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT c.doc_id, e.j FROM c JOIN e ON c.seen = e.i),
+m AS (SELECT doc_id, min(seen) AS component_id FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_line_quality": QUALITY, "op6_near_duplicates": NEAR}
