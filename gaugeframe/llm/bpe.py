@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, worker_memo
 
 #: Entries of the memos of pieces and of pairs; a full memo is emptied.
 MEMO = 400_000
@@ -120,14 +120,9 @@ class BytePairCoder:
         return total, hashlib.sha256(",".join(decimals).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
-_coders: dict[tuple[str, str], BytePairCoder] = {}
-
-
 def coder(path: str, pattern: str) -> BytePairCoder:
     """One coder per worker process."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = BytePairCoder.from_file(path, pattern)
-    return _coders[path, pattern]
+    return worker_memo(("bpe", path, pattern), lambda: BytePairCoder.from_file(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:

@@ -35,6 +35,25 @@ def ship(spark: SparkSession) -> None:
     ship.context = sc
 
 
+_slot: dict = {}
+
+
+def worker_memo(key: tuple, make):
+    """``make()``, kept in this worker process until an operator asks for another: workers serve
+    one stage after the other, and shouldn't hold the memos of all."""
+    if _slot.get("key") != key:
+        _slot.clear()
+        _slot.update(key=key, value=make())
+    return _slot["value"]
+
+
+def small(batches, rows: int = 1000):
+    """The batches in slices of at most so many rows: what Python makes of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once: a lambda variable, so that
     an expensive expression used inside another lambda isn't evaluated per element."""
@@ -87,7 +106,7 @@ def per_text(docs: DataFrame, make, columns: dict[str, str], id_col="doc_id", te
         import pyarrow as pa
 
         f = make()
-        for b in batches:
+        for b in small(batches):
             made = f(b.column(1).to_pylist(), *[b.column(i).to_pylist() for i in range(2, b.num_columns)])
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[k], type=kinds[k]) for k in columns]], names=names)
 

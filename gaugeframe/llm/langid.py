@@ -18,6 +18,7 @@ each get a row; columns other than id, text and lang are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holdout, per_text, ship
+from .common import holdout, per_text, ship, small, worker_memo
 
 UNKNOWN = "und"
-MEMO = 300_000
+MEMO = 200_000
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +178,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col="doc_id", text_
     """(doc_id, lang_pred, score, rejected) per row.  lang_pred is a learned language wherever
     there is a letter; ``rejected`` tells those the model isn't sure of, and ``und``."""
     names = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    name = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels: bounded by its parameters
 
     def make():
-        one = Predictor(sent.value)
+        one = worker_memo(("langid", name), lambda: Predictor(sent.value))
 
         def f(texts):
             rows = one(texts)
@@ -200,12 +202,13 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
 def keep_sure(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", **options) -> DataFrame:
     """The rows of ``docs`` whose language isn't rejected, whole, filtered where they are."""
     ship(docs.sparkSession)
+    name = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(fit_sample(docs, id_col, text_col, lang_col, **options))
     at = docs.columns.index(text_col)
 
     def run(batches):
-        one = Predictor(sent.value)
-        for b in batches:
+        one = worker_memo(("langid", name), lambda: Predictor(sent.value))
+        for b in small(batches):
             yield b.filter(pa.array([not r[2] for r in one(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

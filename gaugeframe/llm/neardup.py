@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, ship, small, worker_memo
 from .lm import mix
 
 MEMO = 300_000
@@ -51,14 +51,9 @@ class WordHashes(dict):
         return h
 
 
-_own: list[WordHashes] = []
-
-
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles, A-Z lower-cased."""
-    if not _own:
-        _own.append(WordHashes())
-    memo, out = _own[0], []
+    memo, out = worker_memo(("neardup",), WordHashes), []
     for t in texts:
         words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
         n = len(words)
@@ -99,7 +94,7 @@ def _sets(docs: DataFrame, width: int, k: int | None, id_col: str, text_col: str
     names = ["doc_id", "n", "hashes"] + ["sh1", "sh2"] * (k is not None)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             sets = shingle_sets(b.column(1).to_pylist(), width)
             cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))]
             if k is not None:

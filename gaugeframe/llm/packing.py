@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, worker_memo
 
 #: Entries of the memo of words; beyond it words are encoded each time.
 MEMO = 600_000
@@ -124,13 +124,8 @@ class _Both(dict):
         return self.memo[key]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_memo(("packing", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col="doc_id", text_col="text", with_ids=False) -> DataFrame:
