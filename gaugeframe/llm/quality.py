@@ -20,13 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, let
+from .common import ASCII_SPACE, let, materialise
 
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: The most hashes of common lines that are broadcast (a few MB); a larger table is joined by a shuffle.
+BROADCAST = 500_000
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, ASCII_SPACE), lambda w: w != "")
 
@@ -86,7 +90,9 @@ def common_lines(docs: DataFrame, text_col="text", host_col="source", min_docs=2
 def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", min_docs=20, max_share=0.2, min_left=0.3, min_words=50, max_repeat=0.5, carry=False) -> DataFrame:
     """One row per row of ``docs``: id, the base counts, base_failed, n_left (words in lines
     that stay) and kept; with ``carry`` also the row itself, as a struct ``row``."""
-    common = common_lines(docs, text_col, host_col, min_docs, max_share).select(F.col("host").alias("host2"), "lines")
+    common = materialise(common_lines(docs, text_col, host_col, min_docs, max_share).select(F.col("host").alias("host2"), "lines"))
+    if (common.agg(F.sum(F.size("lines") + 8)).first()[0] or 0) <= BROADCAST:
+        common = F.broadcast(common)
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(host_col).cast("string").alias("host"),
@@ -119,5 +125,5 @@ def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="so
 
 def keep_good(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, whole: boilerplate lines count in the verdict
-    only.  No text is shuffled unless the table of common lines outgrows a broadcast."""
+    only.  No text is shuffled unless the table of common lines outgrows BROADCAST."""
     return line_quality(docs, id_col, text_col, host_col, carry=True, **limits).where("kept").select("row.*")
