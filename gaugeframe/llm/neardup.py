@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, small, worker_memo
 from .lm import mix
 
-MEMO = 300_000
+MEMO = 150_000
 
 
 class WordHashes(dict):
@@ -183,7 +183,7 @@ def _star(lists: DataFrame, turn: int) -> DataFrame:
     return out.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h.rep").alias("b"), F.col("h.n").alias("nb"))
 
 
-def _between(lists: DataFrame, full: DataFrame, percent: int, small=32, block=1024) -> DataFrame:
+def _between(lists: DataFrame, full: DataFrame, percent: int, small=32, block=512) -> DataFrame:
     """Members of a list that lie in different components.  Lists of up to ``small`` members are
     joined with themselves, at most ``small`` rows a member.  Longer lists are dealt into blocks;
     every two blocks meet in a task that compares their sets and returns only the similar."""
@@ -234,7 +234,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def overlaps(values: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, width=4096) -> tuple[np.ndarray, np.ndarray]:
+def overlaps(values: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, width=1024) -> tuple[np.ndarray, np.ndarray]:
     """Intersection sizes of the sets in rows ``x`` with those in rows ``y``, and all sets' sizes.
     values: the sets one after another.  Values of one set only can't be shared: they drop out."""
     row = np.repeat(np.arange(len(lengths)), lengths)
