@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -42,11 +44,24 @@ def worker_memo(key: tuple, make):
     """``make()``, kept in this worker process until an operator asks for another: workers serve
     one stage after the other, and shouldn't hold the memos of all."""
     if _slot.get("key") != key:
-        _slot.clear()
+        if _slot:
+            _slot.clear()
+            give_back()
         _slot.update(key=key, value=make())
     return _slot["value"]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it, and a worker lives on idle."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def small(batches, rows: int = 1000):
     """The batches in slices of at most so many rows: what Python makes of one stays small."""
     for b in batches:
