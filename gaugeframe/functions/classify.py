@@ -85,10 +85,10 @@ def prefix_reason(raw: Column, confidence: Column, reusable: Column, diameter_sc
     """Why a prefix is read again, or isn't."""
     s = strip(F.coalesce(raw, F.lit("")))
     return (
-        F.when(s == "", "no_raw_text").when(reusable, "reused_hint").when(confidence <= 0.95, "low_confidence").when(s.rlike("^[O0Q©¢C]"), "ambiguous_lead")
-        .when((diameter_score >= 0.20) & (diameter_score < 0.32), "weak_phi").otherwise("confident")
+        F.when(s == "", "empty_main_result").when(reusable, "reused_main_or_visual_symbol").when(confidence <= 0.95, "main_confidence_not_above_95").when(s.rlike("^[O0Q©¢C]"), "ambiguous_leading_character")
+        .when((diameter_score >= 0.20) & (diameter_score < 0.32), "borderline_phi_score").otherwise("high_confidence_main_result")
     )
 
 
 def prefix_is_read(reason: Column) -> Column:
-    return reason.isin("low_confidence", "ambiguous_lead", "weak_phi")
+    return reason.isin("main_confidence_not_above_95", "ambiguous_leading_character", "borderline_phi_score")

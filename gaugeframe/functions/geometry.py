@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def rect(b: Column) -> tuple[Column, Column, Column, Column]:
     return b.x, b.y, b.x + b.w, b.y + b.h
@@ -85,7 +87,7 @@ def unrotate(b: Column, width: Column, height: Column) -> Column:
     x0, x1 = clamp(b.y, width), clamp(b.y + b.h, width)
     y0, y1 = clamp(height - (b.x + b.w), height), clamp(height - b.x, height)
     out = box(F.round(x0, 1), F.round(y0, 1), F.round(x1 - x0, 1), F.round(y1 - y0, 1))
-    return F.when((x1 > x0) & (y1 > y0), out).otherwise(b)
+    return F.when((x1 - x0 >= 1) & (y1 - y0 >= 1), out).otherwise(b)
 
 
 def unrotate_pass(b: Column, height: Column) -> Column:
@@ -93,7 +95,7 @@ def unrotate_pass(b: Column, height: Column) -> Column:
 
 
 def upscale_factor(w: Column, h: Column, target: float = 280.0) -> Column:
-    return F.least(F.lit(12.0), F.greatest(F.lit(1.0), target / F.least(w, h)))
+    return F.least(F.lit(12.0), F.greatest(F.lit(1.0), target / F.greatest(w, h)))
 
 
 def value_box(drawn: Column, r: Column, scale: Column, pad: float = 20.0) -> Column:
@@ -120,13 +122,72 @@ def crop_rect(b: Column, width: Column, height: Column, margin: int = 6) -> Colu
 
 def grown_right(b: Column, limit: Column, width: Column) -> Column:
     """x1 of an incomplete angle's larger crop; null where it grows by under 8."""
-    x1 = F.least(b.x + b.w + F.greatest(b.w, F.lit(50.0)), F.coalesce(limit, width), width)
-    return F.when(x1 - (b.x + b.w) >= 8, x1)
+    x0 = F.greatest(b.x.cast("int"), F.lit(0))
+    x1 = F.least(b.x + b.w + F.greatest(b.w, F.lit(50.0)), F.coalesce(limit, width), width).cast("int")
+    return F.when(x1 - x0 >= b.w + 8, x1)
 
 
 def plausible_box(w: Column, h: Column, ink: Column, page_w: Column, page_h: Column) -> Column:
-    short, area = F.least(w, h), w * h
-    return (short >= 7) & (area >= 90) & (w <= 0.48 * page_w) & (h <= 0.36 * page_h) & (ink / area >= 0.025)
+    """Whether a proposed box may hold a dimension: neither a speck nor much of the page, neither empty nor filled in."""
+    short, long, area = F.least(w, h), F.greatest(w, h), w * h
+    fill, aspect = ink / F.greatest(area, F.lit(1.0)), w / F.greatest(h, F.lit(1.0))
+    sized = (short >= 7) & (area >= 90) & (w < 0.48 * page_w) & (h < 0.48 * page_h) & (long <= 0.36 * F.greatest(page_w, page_h))
+    solid = ((fill > 0.72) & (short > 18)) | ((area > 2200) & (aspect > 0.4) & (aspect < 2.5) & (fill > 0.14))
+    return sized & (fill >= 0.055) & ~solid
+
+
+def text_box_plausible(t: Column, u: Column) -> Column:
+    """Whether a text's tight box lies in its cluster's box ``u`` well enough."""
+    inter = overlap_area(t, u)
+    ta, ua = F.greatest(t.w * t.h, F.lit(1.0)), F.greatest(u.w * u.h, F.lit(1.0))
+    dwarf = (ta < 0.15 * ua) & (u.h > u.w * 1.3)
+    return (inter > 0) & (inter / ta >= 0.45) & (inter / ua >= 0.08) & ~dwarf
+
+
+def text_box(b: Column, image: Column, prep: Column, oriented: Column, vertical: Column, pad: float = 36.0) -> Column:
+    """The union ``b`` of a reading's words, in pixels of the image as received; null if under one pixel.
+    image, prep, oriented: structs of w and h, as received, padded and enlarged, and turned."""
+
+    def within(q: Column, size: Column) -> Column:
+        x0, x1 = (F.greatest(F.lit(0.0), F.least(v, size.w)) for v in (q.x, q.x + q.w))
+        y0, y1 = (F.greatest(F.lit(0.0), F.least(v, size.h)) for v in (q.y, q.y + q.h))
+        return F.when((x1 - x0 >= 1) & (y1 - y0 >= 1), box(x0, y0, x1 - x0, y1 - y0))
+
+    def outer(t: Column) -> Column:
+        sx, sy = prep.w / F.greatest(image.w + 2 * pad, F.lit(1.0)), prep.h / F.greatest(image.h + 2 * pad, F.lit(1.0))
+        return let(box(t.x / sx - pad, t.y / sy - pad, t.w / sx, t.h / sy), lambda q: within(q, image))
+
+    def turned(t: Column) -> Column:
+        return F.when(t.isNotNull(), F.when(vertical, unrotate(t, prep.w, prep.h)).otherwise(t))
+
+    inner = let(b, lambda q: within(box(q.x - pad, q.y - pad, q.w, q.h), oriented))
+    return let(let(let(inner, turned), outer), lambda t: F.when(t.isNotNull(), box(*[F.round(t[c], 1) for c in "xywh"])))
+
+
+def symbol_zone(w: Column, h: Column, turned: Column) -> Column:
+    """The strip of a crop where its leading symbol stands; ``turned``: the crop is a vertical one turned clockwise."""
+    tall = h > 1.35 * w
+    strip = F.greatest(F.lit(14), F.when(tall, h * 0.32).otherwise(w * 0.28).cast("int")).cast("double")
+    beside = box(F.when(turned, w - strip).otherwise(0.0), F.lit(0.0), strip, h)
+    return F.when(tall, box(F.lit(0.0), h - strip, w, strip)).otherwise(beside)
+
+
+def variants(w: Column, h: Column) -> Column:
+    """Names of the pictures that a crop is read from: both turns of a vertical one, by each filter."""
+    turns = F.when(h > 1.35 * w, F.array(F.lit("cw"), F.lit("ccw"))).otherwise(F.array(F.lit("h")))
+    filters = F.array(*[F.lit(x) for x in ("clahe", "sharp", "cad")])
+    return F.flatten(F.transform(turns, lambda t: F.transform(filters, lambda f: F.concat(t, F.lit("_"), f))))
+
+
+def drawn_crop(b: Column, scale: Column, pad: int = 20) -> Column:
+    """What a drawn box cuts from the page, in whole pixels: source box, and the padded crop's size."""
+    whole = lambda v, least: F.greatest(F.lit(least), F.floor(v * scale + 0.5)).cast("double")
+    w, h = whole(b.w, 1), whole(b.h, 1)
+    return F.struct(whole(b.x, 0).alias("x"), whole(b.y, 0).alias("y"), w.alias("w"), h.alias("h"), (w + 2 * pad).alias("crop_w"), (h + 2 * pad).alias("crop_h"))
+
+
+def drawn_enough(b: Column, least: float = 8.0) -> Column:
+    return (b.w >= least) & (b.h >= least)
 
 
 def balloon(b: Column, scale: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as X
 
 
 def BOX():
@@ -185,7 +186,7 @@ def uncovered(ocr: DataFrame, vision: DataFrame, least: float = 0.72) -> DataFra
 def right_limits(boxes: DataFrame) -> DataFrame:
     """(page_id, box_id, right_limit): 8 short of the nearest box at the right on the same lines."""
     a, b = F.col("a"), F.col("b")
-    beside = (b.x > a.x + a.w / 2) & (b.y < a.y + a.h) & (a.y < b.y + b.h) & (b.x >= a.x + a.w)
+    beside = (b.x >= a.x + a.w) & (b.y <= a.y + a.h) & (a.y <= b.y + b.h)
     near = _pairs(boxes, False).where(beside).groupBy("page_id", "box_id").agg((F.min(b.x) - 8).alias("right_limit"))
     return boxes.select("page_id", "box_id").join(near, ["page_id", "box_id"], "left")
 
@@ -206,3 +207,52 @@ def segment(boxes: DataFrame, ratio: float = 0.72, width: float = 0.0, height: f
     d = split_mixed(d).withColumn("cluster_id", F.col("cluster_id") * 3 + F.col("part")).drop("part")
     d = d.join(overlapping_clusters(bounds(d)), ["page_id", "cluster_id"]).drop("cluster_id").withColumnRenamed("merged_id", "cluster_id")
     return order(bounds(d))
+
+
+def expand(clustered: DataFrame, detections: DataFrame, width: float, height: float, ratio: float = 0.72) -> DataFrame:
+    """Boxes with cluster_id, after a second look into oversized clusters: detections(page_id, cluster_id,
+    box_id, x, y, w, h in the cluster's crop) replace a cluster if they form more than one.  New
+    cluster ids and box ids follow the page's largest."""
+    keys = ["page_id", "cluster_id"]
+    large = oversized(bounds(clustered), width, height).where("oversized").select(*keys, G.crop_rect(BOX(), F.lit(width), F.lit(height), 4).alias("c"))
+    found = detections.join(large, keys).withColumns({"x": F.round(F.col("x") + F.col("c.x"), 1), "y": F.round(F.col("y") + F.col("c.y"), 1)})
+    # each crop is a page of its own, named by its page and cluster
+    crop = F.to_json(F.struct(*keys))
+    names = found.select(crop.alias("crop"), *keys).distinct()
+    inner = found.select(crop.alias("page_id"), "box_id", "x", "y", "w", "h", F.col("c.w").alias("cw"), F.col("c.h").alias("ch"))
+    a, b = F.col("a"), F.col("b")
+    caps = inner.select("page_id", "cw", "ch").distinct()
+    w, h = G.union_size(a, b)
+    pairs = _pairs(inner, True).join(caps, "page_id").where(G.should_merge(a, b, ratio) & (w <= 0.34 * F.col("cw")) & (h <= 0.42 * F.col("ch")))
+    sub = split_mixed(inner.drop("cw", "ch").join(components(inner, pairs), ["page_id", "box_id"]))
+    sub = sub.withColumnRenamed("page_id", "crop").withColumnRenamed("cluster_id", "sub_id").join(names, "crop")
+    many = sub.groupBy(*keys).agg(F.count_distinct("sub_id", "part").alias("n")).where("n > 1").select(*keys)
+    sub = sub.join(many, keys, "left_semi")
+    top = clustered.groupBy("page_id").agg(F.max("cluster_id").alias("top_cluster"), F.max("box_id").alias("top_box"))
+    page = Window.partitionBy("page_id")
+    sub = sub.join(top, "page_id").withColumns({
+        "new_cluster": F.col("top_cluster") + F.dense_rank().over(page.orderBy("cluster_id", "sub_id", "part")),
+        "new_box": F.col("top_box") + F.row_number().over(page.orderBy("cluster_id", "box_id")),
+    })
+    new = sub.select("page_id", F.col("new_box").alias("box_id"), "x", "y", "w", "h", F.col("new_cluster").alias("cluster_id"))
+    return clustered.select(*new.columns).join(many, keys, "left_anti").unionByName(new)
+
+
+def complete_angles(regions: DataFrame, rereads: DataFrame, width: float) -> DataFrame:
+    """regions(page_id, box_id, x, y, w, h, text, conf, type) with angles whose end was cut off read anew:
+    rereads(page_id, box_id, text, conf, box struct or null) are readings of the grown crops.  Accepted
+    only where the crop had room to grow and the reading is an angle of more digits.  Room is judged by
+    the boxes as they came."""
+    keys = ["page_id", "box_id"]
+    r = rereads.select(*keys, X.parse_dms(X.strip(F.col("text"))).alias("new_text"), F.col("conf").alias("new_conf"), F.col("box").alias("new_box"))
+    d = regions.join(right_limits(regions), keys).join(r, keys, "left")
+    old = X.strip(F.coalesce("text", F.lit("")))
+    whole = X.parse_dms(old).isNotNull() & old.contains("'") & old.contains('"')
+    digits = lambda c: F.regexp_count(c, F.lit(r"\d"))
+    room = G.grown_right(BOX(), F.col("right_limit"), F.lit(float(width))).isNotNull()
+    take = (F.col("type") == "angle") & ~whole & room & (digits(F.col("new_text")) > digits(old))
+    take = F.coalesce(take, F.lit(False))
+    boxed = take & F.col("new_box").isNotNull()
+    moved = {c: F.when(boxed, F.round(F.col(f"new_box.{c}"), 1)).otherwise(F.col(c)) for c in "xywh"}
+    text = {"text": F.when(take, F.col("new_text")).otherwise(F.col("text")), "conf": F.when(take, F.col("new_conf")).otherwise(F.col("conf"))}
+    return d.withColumns(moved | text).select(regions.columns)

@@ -98,3 +98,21 @@ def column_names(n: int, names: list[str] | None = None, least: int = 1) -> list
     n = max(least, min(20, n))
     names = names if names is not None else [f"part{i + 1}" for i in range(n)]
     return [(names[i].strip() if i < len(names) else "") or f"col{i + 1}" for i in range(n)]
+
+
+def sheet_columns(annotations: DataFrame, named: list[str] = ()) -> DataFrame:
+    """(place, name): the named columns as they are, then the keys of extras(number, extras map) that
+    they lack, by where they were first seen."""
+    spark = annotations.sparkSession
+    first = spark.createDataFrame([(0, i, 0, n) for i, n in enumerate(named)], "part int, a long, b int, name string")
+    keys = annotations.select("number", F.posexplode(F.map_keys("extras")).alias("pos", "name"))
+    seen = keys.groupBy("name").agg(F.min(F.struct("number", "pos")).alias("at")).where(~F.col("name").isin(list(named)))
+    d = first.unionByName(seen.select(F.lit(1).alias("part"), F.col("at.number").cast("long").alias("a"), F.col("at.pos").alias("b"), "name"))
+    return d.select((F.row_number().over(Window.orderBy("part", "a", "b")) - 1).alias("place"), "name")  # a few names
+
+
+def label_options(annotations: DataFrame) -> DataFrame:
+    """(id, number, text) of the labels that have text."""
+    text = F.coalesce(_full("value"), F.col("label"), F.lit(""))
+    d = annotations.where("kind = 'label'").select("id", "number", text.alias("text"))
+    return d.where(X.strip(F.col("text")) != "")

@@ -78,3 +78,33 @@ def related(annotations: DataFrame, selected: str) -> DataFrame:
     mine = F.col("id") == selected
     parent = annotations.where(mine).select(F.col("label_id").alias("id")).where("id is not null")
     return annotations.where(mine | (F.col("label_id") == selected)).select("id").union(parent.join(annotations.select("id"), "id", "left_semi")).distinct()
+
+
+def on_page(annotations: DataFrame, page: int) -> DataFrame:
+    return annotations.where(F.col("page") == page)
+
+
+def balloons(annotations: DataFrame) -> DataFrame:
+    """Annotations with ``place`` in balloon order: by number, then as they came (seq), in a project."""
+    w = Window.partitionBy("project_id").orderBy("number", "seq")
+    return annotations.withColumn("place", F.row_number().over(w))
+
+
+def from_drafts(drafts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Saved drafts(id, kind, value, type, label_id, method, tool, range, box, value_box) as annotations:
+    blanks become null, a dimension takes the text of its label, a label none, and the value's own
+    box counts before the drawn one.  labels(id, text)."""
+    blank = lambda c: F.nullif(X.strip(F.col(c)), F.lit(""))
+    kind = F.coalesce("kind", F.lit("dimension"))
+    names = labels.select(F.col("id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
+    d = saveable(drafts).withColumns({"kind": kind, "label_id": F.when(kind != "label", blank("label_id"))})
+    d = d.join(names, F.col("label_id") == F.col("_id"), "left")
+    made = {"label": F.coalesce("_text", F.lit("")), "value": X.strip(F.col("value")), "box": F.coalesce("value_box", "box")}
+    return d.withColumns(made | {c: blank(c) for c in ("method", "tool", "range")}).drop("_id", "_text", "value_box")
+
+
+def edit_labels(annotations: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(id, text): a label's new text goes to its label and its value together."""
+    e = edits.select(F.col("id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
+    d = annotations.join(e, (F.col("id") == F.col("_id")) & (F.col("kind") == "label"), "left")
+    return d.withColumns({c: F.coalesce("_text", c) for c in ("label", "value")}).drop("_id", "_text")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import geometry as G
 from ..functions import text as X
 
 EARLY = 0.95
@@ -107,3 +108,64 @@ def compose(readings: DataFrame) -> DataFrame:
         "kind": F.when(blank, "unknown").when(angle, "angle").otherwise(C.compose_kind(c("_t"))),
         "applied": F.when(blank, F.array().cast("array<string>")).when(angle, F.array_append(early, lit("angle_dms"))).otherwise(full),
     }).drop("_p", "_r", "_t", "_n", "_angle", "_ls", "_phi", *[f"_a{i}" for i in range(1, 7)])
+
+
+def assemble_lines(words: DataFrame, line: float = 15.0) -> DataFrame:
+    """crop_id, text of words(crop_id, seq, text, x, y), client-side: sorted by y, a new line where y
+    jumps by ``line`` or more, words of a line by x."""
+    w = Window.partitionBy("crop_id")
+    jump = F.col("y") - F.lag("y").over(w.orderBy("y", "seq")) >= line
+    d = words.withColumn("line", F.sum(F.when(jump, 1).otherwise(0)).over(w.orderBy("y", "seq")))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "seq", "text"))), lambda s: s.text)
+    return d.groupBy("crop_id").agg(X.strip(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ")).alias("text"))
+
+
+def recognise(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Typed values of crops: candidates(crop_id, seq, text, conf) are voted over, symbols(crop_id, prefix,
+    diameter_score, plus_minus, degree, radius, vertical), one row a crop at most, complete the winner.
+    ``prefix`` counts only where the reading asks for a second look."""
+    no = F.lit(False)
+    d = vote(candidates).withColumnRenamed("text", "raw").join(symbols, "crop_id", "left")
+    seen = {c: F.coalesce(c, no) for c in ("plus_minus", "degree", "radius", "vertical")}
+    d = d.withColumns(seen | {"diameter_score": F.coalesce("diameter_score", F.lit(0.0))})
+    hints = (F.col("diameter_score") >= 0.32) | F.col("plus_minus") | F.col("degree") | F.col("radius")
+    d = d.withColumn("prefix_reason", C.prefix_reason(F.col("raw"), F.col("confidence"), hints, F.col("diameter_score")))
+    d = d.withColumn("prefix_used", C.prefix_is_read(F.col("prefix_reason")))
+    late = X.symbols_of_prefix(F.col("prefix"))
+    d = d.withColumn("late", F.when(F.col("prefix_used") & F.col("prefix").isNotNull(), late))
+    d = d.withColumns({c: F.col(c) | F.coalesce(F.col(f"late.{c}"), no) for c in ("plus_minus", "degree", "radius")})
+    d = d.withColumn("diameter_score", F.greatest("diameter_score", F.coalesce("late.diameter_score", F.lit(0.0))))
+    d = compose(d.withColumn("prefix", F.when(F.col("prefix_used"), F.col("prefix"))))
+    review = C.needs_review(F.col("composed"), F.col("confidence"), F.col("agreement"), F.col("corrected"))
+    return d.select("crop_id", F.col("composed").alias("text"), "kind", "applied", "confidence", "agreement", "corrected", "prefix_used", "prefix_reason", review.alias("needs_review"))
+
+
+def text_boxes(words: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(crop_id, x, y, w, h): words(crop_id, x, y, w, h) in pixels of the crop as received;
+    pictures(crop_id, image, prep, oriented: struct<w, h>, vertical)."""
+    u = words.groupBy("crop_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    union = G.box(F.col("x"), F.col("y"), F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))
+    d = u.join(pictures, "crop_id").select("crop_id", G.text_box(union, F.col("image"), F.col("prep"), F.col("oriented"), F.col("vertical")).alias("b"))
+    return d.where("b is not null").select("crop_id", "b.*")
+
+
+def read_crops(pictures: DataFrame, provider) -> DataFrame:
+    """candidates(crop_id, seq, text, conf, x, y, w, h) by a recogniser: ``provider()`` is made once a task
+    and returns a function from a picture's bytes to its lines (text, conf, x, y, w, h)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        read = provider()
+        for b in batches:
+            at, lines = [], []
+            for i, data in enumerate(b.column(1).to_pylist()):
+                found = list(read(data)) if data is not None else []
+                at += [i] * len(found)
+                lines += [(k, *line) for k, line in enumerate(found)]
+            kinds = [pa.int64(), pa.string(), *[pa.float64()] * 5]
+            cols = [pa.array([line[k] for line in lines], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=["crop_id", "seq", "text", "conf", "x", "y", "w", "h"])
+
+    d = pictures.select("crop_id", "data")
+    return d.mapInArrow(run, f"crop_id {d.schema['crop_id'].dataType.simpleString()}, seq long, text string, conf double, x double, y double, w double, h double")

@@ -9,7 +9,8 @@ from ..functions import geometry as G
 from ..functions import ids, ranges
 from ..functions import text as X
 from ..operators import boxes as B
-from ..operators import sheet, store, template, vote
+from ..operators import ink, sheet, store, template, vote
+from ..sources import files
 from .views import duck, view
 
 QUERIES, ORACLES = {}, {}
@@ -361,7 +362,7 @@ def segment_pages(spark, sf_dir):
 
 @query(f"""SELECT page_id, box_id, CASE WHEN ok THEN round(least(y, 600), 1) ELSE x END AS x, CASE WHEN ok THEN round(greatest(400 - x - w, 0), 1) ELSE y END AS y,
   CASE WHEN ok THEN round(least(y + h, 600) - least(y, 600), 1) ELSE w END AS w, CASE WHEN ok THEN round(greatest(400 - x, 0) - greatest(400 - x - w, 0), 1) ELSE h END AS h
-  FROM (SELECT *, least(y + h, 600) > least(y, 600) AND greatest(400 - x, 0) > greatest(400 - x - w, 0) AS ok FROM {duck('boxes')})""")
+  FROM (SELECT *, least(y + h, 600) - least(y, 600) >= 1 AND greatest(400 - x, 0) - greatest(400 - x - w, 0) >= 1 AS ok FROM {duck('boxes')})""")
 def bbox_unrotate(spark, sf_dir):
     return boxes(spark, sf_dir).select("page_id", "box_id", G.unrotate(B.BOX(), F.lit(600.0), F.lit(400.0)).alias("b")).select("page_id", "box_id", "b.*")
 
@@ -387,3 +388,251 @@ def index_register(spark, sf_dir):
     index = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("pos"), name("I", "p_partkey", 500).alias("id"), name("F", "p_partkey", 400).alias("file"))
     new = spark.read.parquet(f"{sf_dir}/orders.parquet").select(name("I", "o_orderkey", 700).alias("id"), name("F", "o_orderkey", 600).alias("file"), F.lit("x").alias("name"))
     return template.register(index, new).select("id", "file", "outcome")
+
+
+# Readings: second looks, symbols, word boxes.
+
+SIGNS = "CASE l_suppkey % 5 WHEN 0 THEN 'O' WHEN 1 THEN '©' WHEN 2 THEN concat(' ', value) WHEN 3 THEN lower(value) ELSE value END"
+
+
+@query(spec_sql(
+    r"""CASE WHEN regexp_matches(t, '^[ØøφΦ⌀]') THEN 1.0 WHEN regexp_matches(t, '^[Rr]\d') THEN 0.0 WHEN regexp_matches(t, '^[O0Q©¢C]$') THEN 0.55 ELSE 0.0 END AS diameter_score,
+    contains(t, '±') OR contains(t, '+/-') AS plus_minus, regexp_matches(t, '[°˚⁰]') AS degree, regexp_matches(t, '^[Rr]\d') AS radius""",
+    f"(SELECT *, trim({SIGNS}) AS t FROM {duck('specs')})",
+))
+def prefix_symbols(spark, sf_dir):
+    s = view(spark, sf_dir, "specs").select(*KEY, X.symbols_of_prefix(F.expr(SIGNS)).alias("s"))
+    return s.select(*KEY, *[F.col(f"s.{c}") for c in ("diameter_score", "plus_minus", "degree", "radius")])
+
+
+PHI = "cast((l_partkey * 7) % 50 AS double) / 100"
+SURE = "0.80 + cast(l_suppkey % 20 AS double) / 100"
+REASON = f"""CASE WHEN trim(value) = '' THEN 'empty_main_result' WHEN l_linenumber = 3 THEN 'reused_main_or_visual_symbol' WHEN {SURE} <= 0.95 THEN 'main_confidence_not_above_95'
+  WHEN regexp_matches(trim(value), '^[O0Q©¢C]') THEN 'ambiguous_leading_character' WHEN {PHI} >= 0.20 AND {PHI} < 0.32 THEN 'borderline_phi_score' ELSE 'high_confidence_main_result' END"""
+
+
+@query(spec_sql(f"r AS reason, r IN ('main_confidence_not_above_95', 'ambiguous_leading_character', 'borderline_phi_score') AS used, {SURE} < 0.9 OR l_discount * 10 < 0.6 AS review", f"(SELECT *, {REASON} AS r FROM {duck('specs')})"))
+def second_look(spark, sf_dir):
+    reason = C.prefix_reason(F.col("value"), F.expr(SURE), F.col("l_linenumber") == 3, F.expr(PHI))
+    review = C.needs_review(F.col("value"), F.expr(SURE), F.col("l_discount") * 10, F.lit(False))
+    return specs(spark, sf_dir, reason=reason, used=C.prefix_is_read(reason), review=review)
+
+
+@query(f"""WITH w AS (SELECT *, y - lag(y) OVER (PARTITION BY crop_id ORDER BY y, seq) >= 15 AS jump FROM {duck('candidates')}),
+l AS (SELECT *, sum(CASE WHEN jump THEN 1 ELSE 0 END) OVER (PARTITION BY crop_id ORDER BY y, seq) AS line FROM w) SELECT crop_id, string_agg(text, ' ' ORDER BY line, x, seq) AS text FROM l GROUP BY crop_id""")
+def client_lines(spark, sf_dir):
+    return vote.assemble_lines(view(spark, sf_dir, "candidates"))
+
+
+@query(f"SELECT crop_id, sum(elapsed) AS paddle_total, count(*) AS paddle_pass_count FROM (SELECT *, x / 4 AS elapsed FROM {duck('candidates')}) GROUP BY crop_id")
+def pass_timings(spark, sf_dir):
+    return vote.timings(view(spark, sf_dir, "candidates").withColumn("elapsed", F.col("x") / 4)).drop("paddle_passes")
+
+
+SYMBOLS = "(seq + crop_id) % 7 = 0 AS plus_minus, (seq + crop_id) % 5 = 0 AS degree, (seq * crop_id) % 11 = 0 AS radius, CAST((seq * 3 + crop_id) % 40 AS double) / 100 AS diameter_score"
+
+
+@query(f"""SELECT *, diameter_score >= 0.32 AS diameter FROM (SELECT crop_id, max(diameter_score) AS diameter_score, bool_or(plus_minus) AS plus_minus, bool_or(degree) AS degree, bool_or(radius) AS radius
+  FROM (SELECT crop_id, {SYMBOLS} FROM {duck('candidates')}) GROUP BY crop_id)""")
+def symbol_scores(spark, sf_dir):
+    return vote.merge_symbol_scores(view(spark, sf_dir, "candidates").selectExpr("crop_id", *[f.strip() for f in SYMBOLS.split(", ")]))
+
+
+@query(f"SELECT crop_id, arg_max(text, s) AS text, arg_max(conf, s) AS conf FROM (SELECT *, ({SCORE.format('text', 'conf').replace('round(', '(', 1).replace(', 6)', ')')}, -seq) AS s FROM {duck('candidates')}) GROUP BY crop_id")
+def best_candidate(spark, sf_dir):
+    return vote.pick_best(view(spark, sf_dir, "candidates"), C.digit_quality)
+
+
+#: Pictures of 240 x 80 and 80 x 240, padded by 36 and enlarged to 1.5.
+WORD_BOX = f"""WITH u AS (SELECT crop_id, crop_id % 2 = 0 AS v, min(x) - 36 AS x0, min(y) - 36 AS y0, max(x + w) - 36 AS x1, max(y + h) - 36 AS y1 FROM {duck('candidates')} GROUP BY crop_id),
+o AS (SELECT *, greatest(0, least(x0, 468)) AS a, greatest(0, least(y0, 228)) AS b, greatest(0, least(x1, 468)) AS c, greatest(0, least(y1, 228)) AS d FROM u),
+t AS (SELECT *, CASE WHEN v THEN b ELSE a END AS p, CASE WHEN v THEN 468 - c ELSE b END AS q, CASE WHEN v THEN d ELSE c END AS r, CASE WHEN v THEN 468 - a ELSE d END AS s FROM o WHERE c - a >= 1 AND d - b >= 1),
+i AS (SELECT crop_id, greatest(0, least(p / 1.5 - 36, iw)) AS x0, greatest(0, least(q / 1.5 - 36, ih)) AS y0, greatest(0, least(r / 1.5 - 36, iw)) AS x1, greatest(0, least(s / 1.5 - 36, ih)) AS y1
+  FROM (SELECT *, CASE WHEN v THEN 80 ELSE 240 END AS iw, CASE WHEN v THEN 240 ELSE 80 END AS ih FROM t))
+SELECT crop_id, round(x0, 1) AS x, round(y0, 1) AS y, round(x1 - x0, 1) AS w, round(y1 - y0, 1) AS h FROM i WHERE x1 - x0 >= 1 AND y1 - y0 >= 1"""
+
+
+@query(WORD_BOX)
+def word_boxes(spark, sf_dir):
+    words = view(spark, sf_dir, "candidates")
+    v = F.col("crop_id") % 2 == 0
+    size = lambda w, h: F.struct(F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h"))
+    image, prep = (F.when(v, size(b, a)).otherwise(size(a, b)) for a, b in ((240, 80), (468, 228)))
+    pictures = words.select("crop_id").distinct().select("crop_id", image.alias("image"), prep.alias("prep"), size(468, 228).alias("oriented"), v.alias("vertical"))
+    return vote.text_boxes(words, pictures)
+
+
+#: The whole way from candidates to typed values; its parts have SQL, tests check the assembly.
+@query()
+def recognise(spark, sf_dir):
+    c = view(spark, sf_dir, "candidates")
+    crops = c.select("crop_id").distinct().withColumns({
+        "prefix": F.when(F.col("crop_id") % 3 == 0, "Ø"), "diameter_score": (F.col("crop_id") % 40) / 100.0, "plus_minus": F.col("crop_id") % 7 == 0,
+        "degree": F.lit(False), "radius": F.col("crop_id") % 13 == 0, "vertical": F.col("crop_id") % 2 == 0,
+    })
+    return vote.recognise(c, crops)
+
+
+# Boxes: what is too large, covered, cut off, or no dimension at all.
+
+BB = duck("boxes")
+
+
+@query(f"""SELECT a.page_id, a.box_id, min(b.x) - 8 AS right_limit FROM {BB} AS a LEFT JOIN {BB} AS b ON a.page_id = b.page_id AND a.box_id <> b.box_id
+  AND b.x >= a.x + a.w AND b.y <= a.y + a.h AND a.y <= b.y + b.h GROUP BY ALL""")
+def right_limits(spark, sf_dir):
+    return B.right_limits(boxes(spark, sf_dir))
+
+
+OVER = f"""SELECT *, h > greatest(2.8 * list_sort(list(h) OVER (PARTITION BY page_id))[CAST(floor(count(*) OVER (PARTITION BY page_id) / 2) AS INT) + 1], 0.28 * 200) OR w > 0.38 * 120 OR w * h > 0.07 * 120 * 200 AS oversized FROM {BB}"""
+
+
+@query(f"SELECT page_id, box_id AS cluster_id, oversized FROM ({OVER})")
+def oversized_clusters(spark, sf_dir):
+    return B.oversized(boxes(spark, sf_dir).withColumnRenamed("box_id", "cluster_id"), 120.0, 200.0).select("page_id", "cluster_id", "oversized")
+
+
+INK = "cast((page_id * 31 + box_id * 17) % 100 AS double) / 100 * w * h"
+
+
+@query(f"""SELECT page_id, box_id FROM (SELECT *, {INK} / greatest(w * h, 1) AS fill FROM {BB}) WHERE least(w, h) >= 7 AND w * h >= 90 AND w < 0.48 * 110 AND h < 0.48 * 90 AND greatest(w, h) <= 0.36 * 110
+  AND fill >= 0.055 AND NOT (fill > 0.72 AND least(w, h) > 18) AND NOT (w * h > 2200 AND w / greatest(h, 1) > 0.4 AND w / greatest(h, 1) < 2.5 AND fill > 0.14)""")
+def plausible_boxes(spark, sf_dir):
+    d = boxes(spark, sf_dir)
+    return d.where(G.plausible_box(F.col("w"), F.col("h"), F.expr(INK), F.lit(110.0), F.lit(90.0))).select("page_id", "box_id")
+
+
+@query(f"""WITH v AS (SELECT * FROM {BB} WHERE box_id % 2 = 1), o AS (SELECT * FROM {BB} WHERE box_id % 2 = 0) SELECT page_id, box_id FROM v UNION ALL
+SELECT page_id, box_id FROM o WHERE least(w, h) >= 11 AND w * h >= 180 AND NOT EXISTS (SELECT 1 FROM v WHERE v.page_id = o.page_id
+  AND greatest(least(o.x + o.w, v.x + v.w) - greatest(o.x, v.x), 0) * greatest(least(o.y + o.h, v.y + v.h) - greatest(o.y, v.y), 0) >= 0.72 * greatest(o.w * o.h, 1))""")
+def uncovered_boxes(spark, sf_dir):
+    d = boxes(spark, sf_dir)
+    return B.uncovered(d.where("box_id % 2 = 0"), d.where("box_id % 2 = 1")).select("page_id", "box_id")
+
+
+@query(f"""WITH b AS (SELECT page_id, box_id, (box_id - 1) // 3 AS cluster_id, {_ax('t')} AS ax FROM {BB} AS t)
+SELECT page_id, box_id, cluster_id, CASE WHEN bool_or(ax = 'v') OVER w AND bool_or(ax = 'h') OVER w THEN CASE ax WHEN 'v' THEN 0 WHEN 'h' THEN 1 ELSE 2 END ELSE 0 END AS part FROM b WINDOW w AS (PARTITION BY page_id, cluster_id)""")
+def split_by_axis(spark, sf_dir):
+    d = boxes(spark, sf_dir).withColumn("cluster_id", F.expr("(box_id - 1) div 3"))
+    return B.split_mixed(d).select("page_id", "box_id", "cluster_id", "part")
+
+
+#: Greedy by definition; a test compares it with a loop.
+@query()
+def dedupe_boxes(spark, sf_dir):
+    return B.dedupe_boxes(boxes(spark, sf_dir).withColumn("fill", F.expr(INK))).select("page_id", "box_id")
+
+
+@query()
+def expand_clusters(spark, sf_dir):
+    d = B.clusters(boxes(spark, sf_dir), 0.72)
+    halves = B.bounds(d).select("page_id", "cluster_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("box_id"), "w", "h")
+    looks = halves.select("page_id", "cluster_id", "box_id", F.lit(4.0).alias("x"), (4 + (F.col("box_id") - 1) * F.col("h") * 0.75).alias("y"), "w", (F.col("h") / 4).alias("h"))
+    return B.expand(d, looks, 600.0, 400.0)
+
+
+CUT = f"SELECT *, concat(cast(box_id * 7 AS string), '°') AS text, concat(cast(box_id * 7 AS string), '°20', chr(39), cast(page_id % 60 AS string), chr(34)) AS again, CASE WHEN page_id % 3 = 0 THEN 'linear' ELSE 'angle' END AS type FROM {BB}"
+
+
+@query(f"""WITH c AS ({CUT}), l AS (SELECT a.page_id, a.box_id, min(b.x) - 8 AS lim FROM c AS a JOIN c AS b ON a.page_id = b.page_id AND a.box_id <> b.box_id AND b.x >= a.x + a.w AND b.y <= a.y + a.h AND a.y <= b.y + b.h GROUP BY ALL)
+SELECT page_id, box_id, CASE WHEN type = 'angle' AND trunc(least(x + w + greatest(w, 50), coalesce(lim, 600), 600)) - trunc(x) >= w + 8 THEN again ELSE text END AS text FROM c LEFT JOIN l USING (page_id, box_id)""")
+def complete_angles(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    text = lambda tail: F.concat((F.col("box_id") * 7).cast("string"), F.lit("°"), *tail)
+    regions = b.withColumns({"text": text([]), "conf": F.lit(0.9), "type": F.when(F.col("page_id") % 3 == 0, "linear").otherwise("angle")})
+    again = text([F.lit("20'"), (F.col("page_id") % 60).cast("string"), F.lit('"')])
+    none = F.lit(None).cast("struct<x: double, y: double, w: double, h: double>")
+    return B.complete_angles(regions, b.select("page_id", "box_id", again.alias("text"), F.lit(0.95).alias("conf"), none.alias("box")), 600.0).select("page_id", "box_id", "text")
+
+
+@query(f"""SELECT page_id, box_id, x + (w / 2 - 20) / 2 AS value_x, w / 4 AS value_w, greatest(trunc(x - 6), 0) AS crop_x, least(trunc(x + w + 6), 600) - greatest(trunc(x - 6), 0) AS crop_w,
+  x + w / 2 AS balloon_x, y - 14 AS balloon_y, least(12, greatest(1, 280 / greatest(w, h))) AS factor, greatest(14, CAST(trunc(CASE WHEN h > 1.35 * w THEN h * 0.32 ELSE w * 0.28 END) AS DOUBLE)) AS strip,
+  CASE WHEN h > 1.35 * w THEN 'cw_clahe,cw_sharp,cw_cad,ccw_clahe,ccw_sharp,ccw_cad' ELSE 'h_clahe,h_sharp,h_cad' END AS pictures, greatest(1, floor(w * 1.5 + 0.5)) + 40 AS drawn_w, w >= 8 AND h >= 8 AS drawn FROM {BB}""")
+def box_geometry(spark, sf_dir):
+    b, zero = B.BOX(), F.lit(0.0)
+    value = G.value_box(b, G.box(F.col("w") / 2, zero, F.col("w") / 2, F.col("h")), F.lit(2.0))
+    crop, balloon, zone = G.crop_rect(b, F.lit(600), F.lit(400)), G.balloon(b, F.lit(2.0)), G.symbol_zone(F.col("w"), F.col("h"), F.lit(False))
+    return boxes(spark, sf_dir).select(
+        "page_id", "box_id", value.x.alias("value_x"), value.w.alias("value_w"), crop.x.cast("double").alias("crop_x"), crop.w.cast("double").alias("crop_w"),
+        balloon.x.alias("balloon_x"), balloon.y.alias("balloon_y"), G.upscale_factor(F.col("w"), F.col("h")).alias("factor"),
+        F.when(F.col("h") > 1.35 * F.col("w"), zone.h).otherwise(zone.w).alias("strip"), F.array_join(G.variants(F.col("w"), F.col("h")), ",").alias("pictures"),
+        G.drawn_crop(b, F.lit(1.5)).crop_w.alias("drawn_w"), G.drawn_enough(b).alias("drawn"),
+    )
+
+
+# The store and its pages.
+
+
+@query(f"SELECT id, number, coalesce(nullif(value, ''), label, '') AS text FROM {A} WHERE kind = 'label' AND trim(coalesce(nullif(value, ''), label, '')) <> ''")
+def label_options(spark, sf_dir):
+    return sheet.label_options(annotations(spark, sf_dir))
+
+
+@query(f"SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY number, id) AS place FROM {A}")
+def balloon_order(spark, sf_dir):
+    return store.balloons(annotations(spark, sf_dir).withColumn("seq", F.col("id"))).select("project_id", "id", "place")
+
+
+@query(f"""SELECT d.id, coalesce(d.kind, 'dimension') AS kind, trim(d.value) AS value, coalesce(l.label, '') AS label, nullif(trim(d.method), '') AS method, nullif(trim(d.tool), '') AS tool, nullif(trim(d.range), '') AS range
+  FROM {A} AS d LEFT JOIN (SELECT id, label FROM {A} WHERE kind = 'label') AS l ON l.id = d.label_id AND coalesce(d.kind, 'dimension') <> 'label' WHERE trim(d.value) <> ''""")
+def saved_drafts(spark, sf_dir):
+    a = annotations(spark, sf_dir)
+    labels = a.where("kind = 'label'").select("id", F.col("label").alias("text"))
+    none = F.lit(None).cast("struct<x: double, y: double, w: double, h: double>")
+    drafts = a.withColumns({"box": none, "value_box": none})
+    return store.from_drafts(drafts, labels).select("id", "kind", "value", "label", "method", "tool", "range")
+
+
+@query(f"SELECT id, CASE WHEN kind = 'label' AND number % 2 = 0 THEN 'NEW ' || number ELSE label END AS label, CASE WHEN kind = 'label' AND number % 2 = 0 THEN 'NEW ' || number ELSE value END AS value FROM {A}")
+def edited_labels(spark, sf_dir):
+    a = annotations(spark, sf_dir)
+    edits = a.where("number % 2 = 0").select("id", F.concat(F.lit("NEW "), F.col("number").cast("string")).alias("text"))
+    return store.edit_labels(a, edits).select("id", "label", "value")
+
+
+@query("SELECT p_partkey, 'P' || p_size AS project, 'a b|' || p_type AS columns FROM part")
+def page_params(spark, sf_dir):
+    url = F.concat(F.lit("http://host/checksheet?project=P"), F.col("p_size").cast("string"), F.lit("&cols=a+b,%20,,%20"), F.url_encode("p_type"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", files.page_params(url).alias("u")).select("p_partkey", "u.project", F.array_join("u.columns", "|").alias("columns"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY p, a) - 1 AS place, name FROM (SELECT 0 AS p, 0 AS a, 'k1' AS name UNION ALL SELECT 0, 1, 'size'
+  UNION ALL SELECT 1, min(p_partkey), 'k' || (p_partkey % 12) FROM part WHERE p_partkey % 12 <> 1 GROUP BY ALL)""")
+def sheet_columns(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    extras = F.create_map(F.concat(F.lit("k"), (F.col("p_partkey") % 12).cast("string")), F.lit(""))
+    return sheet.sheet_columns(p.select(F.col("p_partkey").alias("number"), extras.alias("extras")), ["k1", "size"])
+
+
+@query("SELECT p_partkey, substr(sha1(p_name), 1, 16) AS hash, regexp_replace(lower(p_name || ' X'), '\\s+', '_', 'g') AS base FROM part")
+def file_keys(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", ids.hash_key(F.col("p_name").cast("binary")).alias("hash"), ids.file_base(F.concat("p_name", F.lit(" X"))).alias("base"))
+
+
+#: One JSON file a project; a test reads them back.
+@query()
+def project_bundles(spark, sf_dir):
+    a = annotations(spark, sf_dir).select("project_id", "number", "id", "kind", "label", "value")
+    source = F.struct(F.lit("d.png").alias("fileName"), F.lit("image/png").alias("mimeType"), F.lit("image").alias("fileType"), F.lit("data:,").alias("dataUrl"))
+    projects = a.select("project_id").distinct().select("project_id", F.col("project_id").alias("project_name"), F.lit(0).cast("long").alias("saved_at"), source.alias("source"))
+    return files.bundles(projects, a, "project")
+
+
+# Pixels: masks made of boxes' numbers; numpy isn't SQL's, loops in tests check it.
+
+
+@query()
+def ink_bands(spark, sf_dir):
+    """Blobs of 12 x 60 with two lines of ink each, apart by more on odd pages."""
+    line = F.expr("repeat('01', 120)")
+    gap = F.when(F.col("page_id") % 2 == 1, F.expr("repeat('00', 360)")).otherwise(F.expr("repeat('01', 360)"))
+    mask = F.unhex(F.concat(line, gap, F.expr("repeat('01', 240)")))
+    return ink.refine_blobs(boxes(spark, sf_dir).withColumns({"w": F.lit(12.0), "h": F.lit(60.0), "mask": mask}))
+
+
+@query()
+def gray_pictures(spark, sf_dir):
+    rgb = F.unhex(F.concat(F.expr("repeat('ffffff', 6)"), F.lpad(F.hex("page_id"), 6, "0"), F.expr("repeat('2040ff', 5)")))
+    pictures = boxes(spark, sf_dir).select("page_id").distinct().withColumns({"width": F.lit(4), "height": F.lit(3), "data": rgb})
+    return ink.gray_pictures(pictures).select("page_id", F.hex("gray").alias("gray"))
