@@ -1,14 +1,14 @@
 """Quality rules from cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised and hashed; per host (``source``) each line's number of distinct
-documents is counted.  A line that more than ``max_share`` of a host's documents (and at
-least ``min_docs``) carry is boilerplate: it is removed.  A document of whose words less
-than ``min_left`` is left is depleted: rejected.
+documents is counted.  A line that at least ``min_docs`` of a host's documents carry (and,
+where ``max_share`` is given, more than that share of them) is boilerplate: it is removed.
+A document of whose words less than ``min_left`` is left is depleted: rejected.
 
-Documents count once per distinct text, so exact copies don't turn their own lines into
-boilerplate; the share keeps groups of near copies out for the same reason.  Per host at
-most (mean lines a document) / ``max_share`` lines can pass the limit, so the list that is
-joined to a host's documents is bounded by the host's own mean document, not by the host.
+The limit is a number of documents, so it doesn't rise with the host.  Documents count once
+per distinct text, so exact copies don't turn their own lines into boilerplate.  How many
+lines of a host pass the limit grows with the host, so no list of them is joined to its
+documents: each document gets the list of its own lines over the limits.
 
 Defined cases: null or blank text has no words, hence fails the base rules; a null host is
 a host of its own; repeated rows each get a row; an empty table gives an empty result;
@@ -27,7 +27,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: The most hashes of common lines that are broadcast (a few MB); a larger table is joined by a shuffle.
+#: The most common lines that are broadcast (a few MB); a larger table is joined by a shuffle.
 BROADCAST = 500_000
 
 
@@ -73,29 +73,36 @@ def _hashed(text: Column) -> Column:
     )
 
 
-def common_lines(docs: DataFrame, text_col="text", host_col="source", min_docs=20, max_share=0.2) -> DataFrame:
-    """(host, lines): per host the hashes of the lines over the limits."""
-    d = docs.select(
-        F.col(host_col).cast("string").alias("host"),
-        F.xxhash64(F.col(text_col)).alias("doc"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    lines = d.select("host", "doc", F.explode(F.array_distinct(F.transform(_hashed(F.col("text")), lambda x: x.h))).alias("h")).distinct()
-    many = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    hosts = d.select(F.col("host").alias("host2"), "doc").distinct().groupBy("host2").agg(F.count("*").alias("docs"))
-    over = many.join(hosts, F.col("host").eqNullSafe(F.col("host2"))).where(F.col("n") > max_share * F.col("docs"))
-    return over.groupBy("host").agg(F.collect_list("h").alias("lines"))
+def _doc_lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """(host, doc, h): the distinct line hashes of each distinct text of a host."""
+    d = docs.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(F.col(text_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return d.select("host", "doc", F.explode(F.array_distinct(F.transform(_hashed(F.col("text")), lambda x: x.h))).alias("h")).distinct()
+
 
+def common_lines(docs: DataFrame, text_col="text", host_col="source", min_docs=20, max_share=0.0) -> DataFrame:
+    """(host, doc, lines): per distinct text of a host the hashes of its lines over the limits;
+    texts without such lines have no row."""
+    lines = _doc_lines(docs, text_col, host_col)
+    over = lines.groupBy(F.col("host").alias("host2"), F.col("h").alias("h2")).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    if max_share:
+        d = docs.select(F.col(host_col).cast("string").alias("host3"), F.xxhash64(F.col(text_col)).alias("doc")).distinct()
+        hosts = d.groupBy("host3").agg(F.count("*").alias("docs"))
+        over = over.join(hosts, F.col("host2").eqNullSafe(F.col("host3"))).where(F.col("n") > max_share * F.col("docs"))
+    over = materialise(over.select("host2", "h2"))
+    if over.count() <= BROADCAST:
+        over = F.broadcast(over)
+    hits = lines.join(over, F.col("host").eqNullSafe(F.col("host2")) & (F.col("h") == F.col("h2")), "left_semi")
+    return hits.groupBy("host", "doc").agg(F.collect_list("h").alias("lines"))
 
-def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", min_docs=20, max_share=0.2, min_left=0.3, min_words=50, max_repeat=0.5, carry=False) -> DataFrame:
+
+def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", min_docs=20, max_share=0.0, min_left=0.3, min_words=50, max_repeat=0.5, carry=False) -> DataFrame:
     """One row per row of ``docs``: id, the base counts, base_failed, n_left (words in lines
     that stay) and kept; with ``carry`` also the row itself, as a struct ``row``."""
-    common = materialise(common_lines(docs, text_col, host_col, min_docs, max_share).select(F.col("host").alias("host2"), "lines"))
-    if (common.agg(F.sum(F.size("lines") + 8)).first()[0] or 0) <= BROADCAST:
-        common = F.broadcast(common)
+    common = common_lines(docs, text_col, host_col, min_docs, max_share).select(F.col("host").alias("host2"), F.col("doc").alias("doc2"), "lines")
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(host_col).cast("string").alias("host"),
+        F.xxhash64(F.col(text_col)).alias("doc"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry,
     )
@@ -103,6 +110,7 @@ def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="so
     d = d.select(
         "doc_id",
         "host",
+        "doc",
         *["row"] * carry,
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
@@ -113,7 +121,7 @@ def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="so
     gone = F.aggregate(
         F.filter("hashed", lambda x: F.array_contains(F.col("lines"), x.h)), F.lit(0), lambda acc, x: acc + x.n
     )
-    d = d.join(common, F.col("host").eqNullSafe(F.col("host2")), "left")
+    d = d.join(common, F.col("host").eqNullSafe(F.col("host2")) & (F.col("doc") == F.col("doc2")), "left")
     n, rep = F.col("w.n_words").cast("long"), F.col("w.n_repeat").cast("long")
     failed = (n < min_words) | (rep > max_repeat * n)
     left = n - F.when(F.col("lines").isNull(), F.lit(0)).otherwise(gone)
@@ -125,5 +133,5 @@ def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="so
 
 def keep_good(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, whole: boilerplate lines count in the verdict
-    only.  No text is shuffled unless the table of common lines outgrows BROADCAST."""
+    only.  The text is shuffled once, to meet the list of its lines over the limits."""
     return line_quality(docs, id_col, text_col, host_col, carry=True, **limits).where("kept").select("row.*")

@@ -226,6 +226,18 @@ def test_quality_removes_common_lines(spark):
     assert quality.keep_good(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    """The registered query's own parameters: 25 of 400 texts share a line, 19 another."""
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    line = lambda i: "\nHome  About contact" if i < 25 else "\nin nineteen texts" if i < 44 else ""
+    data = [(i, own(i) + line(i), None, "h", 0) for i in range(400)] + [(400 + i, own(25) + line(25), None, "h", 0) for i in range(50)]
+    data += [(500 + i, own(500 + i) + line(0), None, None if i < 20 else "small", 0) for i in range(39)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["n_words"] - r["n_left"] for r in rows(quality.line_quality(df))}
+    assert all(got[i] == (3 if i < 25 else 0) for i in range(400))
+    assert all(got[500 + i] == (3 if i < 20 else 0) for i in range(39))  # a null host of 20 texts, and a host of 19
+
+
 # 6 near duplicates
 def brute_components(data):
     sets, ids = [], []
