@@ -62,6 +62,12 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
 
 
+def _without(text: Column, lines: Column) -> Column:
+    """``text`` less the lines whose hash is in ``lines``; the others stay as they stand."""
+    own = lambda x: F.xxhash64(F.lower(F.array_join(words_of(x), " ")))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(lines, own(x))), "\n")
+
+
 def _hashed(text: Column) -> Column:
     """(hash of the normalised line, its words) of each line with a word."""
     return F.transform(
@@ -97,7 +103,8 @@ def common_lines(docs: DataFrame, text_col="text", host_col="source", min_docs=2
 
 def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", min_docs=20, max_share=0.0, min_left=0.3, min_words=50, max_repeat=0.5, carry=False) -> DataFrame:
     """One row per row of ``docs``: id, the base counts, base_failed, n_left (words in lines
-    that stay) and kept; with ``carry`` also the row itself, as a struct ``row``."""
+    that stay) and kept; with ``carry`` also the row, as a struct ``row``, its text without the
+    lines over the limits."""
     common = common_lines(docs, text_col, host_col, min_docs, max_share).select(F.col("host").alias("host2"), F.col("doc").alias("doc2"), "lines")
     d = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -125,13 +132,17 @@ def line_quality(docs: DataFrame, id_col="doc_id", text_col="text", host_col="so
     n, rep = F.col("w.n_words").cast("long"), F.col("w.n_repeat").cast("long")
     failed = (n < min_words) | (rep > max_repeat * n)
     left = n - F.when(F.col("lines").isNull(), F.lit(0)).otherwise(gone)
+    row = []
+    if carry:
+        t = F.col("row").getField(text_col)
+        row = [F.col("row").withField(f"`{text_col}`", F.when(F.col("lines").isNull(), t).otherwise(_without(t, F.col("lines")))).alias("row")]
     return d.select(
         "doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", rep.alias("n_repeat_words"),
-        failed.alias("base_failed"), left.cast("long").alias("n_left"), (~failed & (left >= min_left * n)).alias("kept"), *["row"] * carry,
+        failed.alias("base_failed"), left.cast("long").alias("n_left"), (~failed & (left >= min_left * n)).alias("kept"), *row,
     )
 
 
 def keep_good(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, whole: boilerplate lines count in the verdict
-    only.  The text is shuffled once, to meet the list of its lines over the limits."""
+    """The rows of ``docs`` that the rules keep, their text without the lines over the limits.
+    The text is shuffled once, to meet the list of these lines."""
     return line_quality(docs, id_col, text_col, host_col, carry=True, **limits).where("kept").select("row.*")

@@ -30,3 +30,13 @@ def test_stages_on_awkward_and_empty(spark):
     for docs in (awkward(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def test_quality_stage_removes_lines(spark):
+    own = lambda i: "\n\n  ".join(" ".join(f"w{i}x{k}x{j}" for j in range(30)) for k in range(3))
+    data = [(i, f"Home  About\n{own(i)}\n \nhome about\nrare line {i % 2}\n" if i < 25 else own(i), "en", "h", 0) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in rows(corpus_pipeline.STAGES[0][1](spark, df, SF))}
+    assert len(got) == 200
+    for i, r in got.items():
+        assert r["text"] == (f"{own(i)}\n \nrare line {i % 2}\n" if i < 25 else own(i)) and r["n_chars"] == len(r["text"])
