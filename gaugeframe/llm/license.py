@@ -5,8 +5,9 @@ the same k-gram.  A hit votes for the diagonal (place in the text less place in
 template): a copied template puts all its votes on one diagonal, inserted or lost words
 move the rest to a neighbour.  Diagonals of a document and template no further apart than
 ``max_shift`` merge into a span, and a span is verified: the template's words its hits
-cover must reach ``min_cover`` of the template, and the span may not be longer than twice
-the template.  The label is the template's; the score is the best cover.
+cover must reach ``min_cover`` of the template, the first word of every number (a version
+tells templates apart) must be among them, and the span may not be longer than twice the
+template.  So a notice without a version, or of another one, isn't the template's.  The label is the template's; the score is the best cover.
 
 Templates are fixed and few, so their table is broadcast (its size is checked); votes are
 counted before they are shuffled.  The contract's base phrases are counted at every place
@@ -73,19 +74,21 @@ def grams(words: Column, k: int) -> Column:
 
 
 def template_positions(spark, templates: dict[str, list[str]], k: int) -> DataFrame:
-    """(template, label, t_words, t_pos, h), one row per k-gram."""
+    """(template, label, t_words, musts, t_pos, h), one row per k-gram; musts are the places of
+    the words that a span has to cover."""
     rows, number = [], 0
     for label, texts in templates.items():
         for text in texts:
             words = [w for w in re.split(SEPARATOR, text.lower()) if w]
             if len(words) < k:
                 raise ValueError(f"a template of {label} has under {k} words")
-            rows.append((number, label, words))
+            musts = [i for i, w in enumerate(words) if w.isdigit() and not (i and words[i - 1].isdigit())]
+            rows.append((number, label, words, musts))
             number += 1
     if sum(len(r[2]) for r in rows) > MAX_GRAMS:
         raise ValueError(f"templates have over {MAX_GRAMS} words; they would not fit a broadcast")
-    t = spark.createDataFrame(rows, "template int, label string, words array<string>")
-    return t.select("template", "label", F.size("words").alias("t_words"), F.posexplode(grams(F.col("words"), k)).alias("t_pos", "h"))
+    t = spark.createDataFrame(rows, "template int, label string, words array<string>, musts array<int>")
+    return t.select("template", "label", F.size("words").alias("t_words"), "musts", F.posexplode(grams(F.col("words"), k)).alias("t_pos", "h"))
 
 
 def spans(docs: DataFrame, templates=TEMPLATES, k=4, max_shift=3, min_cover=0.75, id_col="doc_id", text_col="text") -> DataFrame:
@@ -97,17 +100,17 @@ def spans(docs: DataFrame, templates=TEMPLATES, k=4, max_shift=3, min_cover=0.75
         F.posexplode(let(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: grams(w, k))).alias("pos", "h"),
     )
     hits = d.join(F.broadcast(positions), "h").select(
-        "doc_id", "doc_hash", "template", "label", "t_words", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal")
+        "doc_id", "doc_hash", "template", "label", "t_words", "musts", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal")
     )
-    group = ["doc_id", "doc_hash", "template", "label", "t_words"]
+    group = ["doc_id", "doc_hash", "template", "label", "t_words", "musts"]
     lines = hits.groupBy(*group, "diagonal").agg(F.collect_set("t_pos").alias("places"), F.min("pos").alias("a"), F.max("pos").alias("z"))
     w = Window.partitionBy("doc_id", "doc_hash", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > max_shift).cast("int"), F.lit(0))
     lines = lines.withColumn("apart", apart).withColumn("span", F.sum("apart").over(w))
     merged = lines.groupBy(*group, "span").agg(F.flatten(F.collect_list("places")).alias("places"), F.min("a").alias("a"), (F.max("z") + k - 1).alias("z"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
-    merged = merged.withColumn("cover", covered / F.col("t_words"))
-    good = (F.col("cover") >= min_cover) & (F.col("z") - F.col("a") + 1 <= 2 * F.col("t_words"))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1)))))
+    merged = merged.withColumn("covered", covered).withColumn("cover", F.size("covered") / F.col("t_words"))
+    good = (F.col("cover") >= min_cover) & (F.size(F.array_except("musts", "covered")) == 0) & (F.col("z") - F.col("a") + 1 <= 2 * F.col("t_words"))
     return merged.where(good).select("doc_id", "doc_hash", "label", "template", F.col("a").alias("first_word"), F.col("z").alias("last_word"), "cover")
 
 

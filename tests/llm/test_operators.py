@@ -348,6 +348,21 @@ def test_license_spans(spark):
     assert license.scan(empty(spark)).count() == 0
 
 
+def test_license_versions(spark):
+    notice, long = license.TEMPLATES["gpl-3.0"]
+    stem = "This work is licensed under the GNU General Public License"
+    texts = [notice, license.TEMPLATES["gpl-2.0"][0], stem + ".", stem + ", version 1.", f"{stem}, version 2. {stem}, version 3.", long, long.replace("version 3", "version 2")]
+    texts += ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2", "Licensed under the Apache License, Version 1.1"]
+    texts += [license.TEMPLATES["mpl-2.0"][0], license.TEMPLATES["mpl-2.0"][0].replace("2.0", "1.1")]
+    df = spark.createDataFrame([(i, f"some words before {t} and after it") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["labels"] for r in sorted(rows(license.scan(df)), key=lambda r: r["doc_id"])]
+    assert got == ["gpl,gpl-3.0", "gpl,gpl-2.0", "gpl", "gpl", "gpl,gpl-2.0,gpl-3.0", "gpl,gpl-3.0", "gpl", "apache-2.0", "apache-2.0", "", "mpl-2.0", ""]
+    every = [(label, t) for label, ts in license.TEMPLATES.items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(every)], "doc_id long, text string")
+    for r in rows(license.scan(df)):
+        assert [x for x in r["labels"].split(",") if x not in license.PHRASES] == [every[r["doc_id"]][0]] and r["score"] == 1
+
+
 # 9 BPE
 @given(st.text(max_size=80))
 @settings(max_examples=300, deadline=None)
