@@ -40,7 +40,14 @@ EXAMPLES = {
         buy pills online, adult video, porn tube, sex cam, xxx movies, hot girls dating, payday loan, quick cash loans,
         click track, ads track pixel, ad server, popup ads, banner ads click, free iphone prize, lottery winner, betting odds, bet win money,
         replica watches, cheap meds, diet pills, weight loss pills, crack keygen, warez torrent, phishing login verify,
-        malware download, escort service, gambling spins, free spins bonus, link farm, seo spam, cheap replica bags, hack cheats
+        malware download, escort service, gambling spins, free spins bonus, link farm, seo spam, cheap replica bags, hack cheats,
+        adult chat, adult movies, adult toys, nude photos, nude webcam, live cams, erotic stories, erotic massage, fetish club, naked girls, hentai, milf,
+        roulette, blackjack tips, baccarat, sportsbook, bingo bonus, bookmaker odds, slots jackpot, poker room, vegas casino,
+        cialis online, levitra, tramadol, xanax, steroids, pharmacy discount, keto diet, male enhancement, botox deals,
+        payday advance, instant loans, credit repair, forex signals, crypto giveaway, bitcoin doubler, make money fast, work from home riches,
+        adserver, doubleclick, popunder, tracker pixel, clickbait, affiliate clicks, backlinks, traffic exchange, banner exchange, telemetry,
+        torrents, nulled scripts, serial keys, cracked software, keylogger, trojan, ransomware, spyware, fake login, account verify,
+        counterfeit, fake watches, replica handbags, fake diploma, essay writing cheap, spam mailer, bulk email, gift cards free
     """,
     "allow": """
         news, daily news, science journal, city library, university research, open source project, cooking recipes, travel guide,
@@ -48,11 +55,25 @@ EXAMPLES = {
         math forum, developer docs, software engineering blog, football club, art gallery, film festival, government services,
         community forum, photo archive, language learning, world atlas, bird watching, chess club, economics review,
         blog post, article, wiki page, about us, contact, documentation, tutorial, support help, index html,
-        shop online, free library, win award, cheap flights, health pills facts, family farm
+        shop online, free library, win award, cheap flights, health pills facts, family farm,
+        adult education, adult literacy class, free lessons, online course, dating fossils, loan desk library, fast trains, money museum, live music,
+        bus tickets, train station, airport guide, hotel reviews, city council, parliament, court records, tax office, police department, fire service,
+        hospital, nursing school, dental practice, pharmacy college, medicine journal, physics, chemistry, biology, astronomy, geology, mathematics,
+        poetry, novels, theatre, opera house, orchestra, painting, photography club, architecture, design studio, craft market,
+        bakery, restaurant menu, coffee house, farmers market, wine tasting, hiking trails, cycling, running club, swimming pool, tennis,
+        insurance advice, bank branch, accounting, business weekly, finance news, jobs board, career advice, real estate, furniture, hardware store,
+        kindergarten, college admissions, student union, alumni, church, charity, volunteer, wildlife park, forestry, water quality,
+        data archive, computer science, programming, linux kernel, compiler, database, statistics, translation, dictionary, encyclopedia
     """,
 }
 
 
+#: Words of structure: they say nothing about what a host holds.
+NEUTRAL = frozenset("www m mobile wap amp web site home blog blogs post posts article articles index page pages html htm php asp aspx jsp static cdn img".split())
+#: Names that stand for a part of a site when they are a subdomain.
+PARTS = NEUTRAL | frozenset("news shop store forum community docs wiki help support contact about mail media photo archive".split())
+
+
 class HostModel:
     """Unigram word model for segmentation and multinomial naive Bayes over its words."""
 
@@ -105,10 +126,14 @@ class HostModel:
         return [w for x in names for w in self.segment(x[:400]) + ([] if len(x) <= 400 else self.segment(x[400:]))]
 
     def score(self, host: str, path: str) -> float:
-        """log odds of block; a token unknown to both classes says nothing."""
+        """log odds of block; a token unknown to both classes says nothing, nor does structure."""
+        labels = host.split(".")
+        while len(labels) > 2 and labels[0] in PARTS:
+            del labels[0]
+        host = ".".join(labels)
         s = self.prior["block"] - self.prior["allow"]
         for w in self.tokens(host, path):
-            if w in self.cost:
+            if w in self.cost and w not in NEUTRAL:
                 s += self.like["block"][w] - self.like["allow"][w]
         return s
 

@@ -120,6 +120,15 @@ def test_segmentation():
         assert m.score(host, "/fr/825") <= 0, host
 
 
+def test_structure_does_not_outweigh_a_name():
+    m = url_filter.model()
+    for sub in ("", "blog.", "www.", "m.", "news.", "www.blog.", "shop."):
+        for name in ("adult-x", "casino-win", "cheappills", "nudewebcam"):
+            assert m.score(f"{sub}{name}.example.net", "/blog/1.html") > 0, (sub, name)
+        for name in ("citylibrary", "adult-education", "poetry", "thadsen"):
+            assert m.score(f"{sub}{name}.example.net", "/blog/1.html") <= 0, (sub, name)
+
+
 def test_url_query_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (None, "http://a.net/es/"), (2, ""), (2, ""), (3, "http://" + "x" * 100000)], "page_id long, url string")
     got = {(r["page_id"], r["verdict"], r["rule"]) for r in rows(url_filter.judge(df))}
