@@ -43,12 +43,12 @@ FURNITURE_WORDS = (
 ).split()
 CONTENT_WORDS = "article body content entry main post story".split()
 
-TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S
-)
+#: An attribute's name and value.  A quote opens a value only after "="; one that nothing closes is a plain character.
+NAME, VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{NAME}(?:{VALUE})?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"({NAME})({VALUE})?+")
 RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
-MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-UNSEEN = re.compile(r"""\bhidden(?=[\s=/]|$)(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _raw, _cuts, _holders, _furniture, _content = map(frozenset, (RAW, CUTS, HOLDERS, FURNITURE, CONTENT))
 _bad, _good = frozenset(FURNITURE_WORDS), frozenset(CONTENT_WORDS)
 
@@ -56,10 +56,15 @@ _bad, _good = frozenset(FURNITURE_WORDS), frozenset(CONTENT_WORDS)
 def role(tag: str, attributes: str, inside: int) -> int:
     """1 content, -1 furniture, 0 if the element doesn't say."""
     if attributes:
-        words = {w for m in MARKED.finditer(attributes) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+        own: dict[str, str] = {}
+        for name, value in ATTRIBUTE.findall(attributes):
+            value = value.strip()[1:].strip()
+            own.setdefault(name.lower(), value[1:-1] if value[:1] in ('"', "'") and value[-1:] == value[0] else value)
+        words = {w for k in ("class", "id", "role") if k in own for w in re.findall(r"[a-z]+", own[k].lower())}
         if words & _bad and tag != "body" and not (tag in _content and words & _good):
             return -1
-        if UNSEEN.search(re.sub(r"""(class|id|href|title|alt)\s*=\s*("[^"]*"|'[^']*')""", "", attributes)):
+        unseen = "hidden" in own and not own["hidden"].lower().startswith("until")
+        if unseen or NOT_SHOWN.search(own.get("style", "")) or own.get("aria-hidden", "").lower().startswith("true"):
             return -1
         if tag not in _furniture and words & _good:
             return 1

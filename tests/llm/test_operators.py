@@ -314,6 +314,17 @@ def test_html_main_text():
     assert len(html_text.main_blocks(bare)) == 2
 
 
+def test_html_long_attribute_values():
+    for q, other in ("\"'", "'\""):
+        for value in ("x>y " * 3000, f"<p class=ad>{other} display:none hidden " * 200):
+            page = f"<article><p data-x={q}{value}{q}>One two three.</p><div data-x={q}{value}{q} class={q}ad{q}>buy this now today</div></article>"
+            assert html_text.main_blocks(page) == ["One two three."]
+    assert html_text.main_blocks("<article><p title=it's>One.</p><p>It's two.</p></article>") == ["One.", "It's two."]
+    assert html_text.main_blocks('<article><p title="one>Two words.</p><p>Three.</p></article>') == ["Two words.", "Three."]
+    for odd in ("<a href='" * 50000, "<a " + "x " * 300000, "<a b=\"'" * 50000, "<a =" + "=" * 300000, "<p title=\"x" * 2 + "<" * 100000):
+        html_text.main_blocks(odd)
+
+
 def test_html_on_pages(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     out = {r["page_id"]: r for r in rows(html_text.extract(df))}
