@@ -284,6 +284,12 @@ def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int, percen
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; of repeated rows of one id all."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("kept_id"), "left_semi")
+    """The rows of ``docs`` whose document stands for its group, one row of each id and text.  A row
+    without an id is the document of its text, behind the ids under 2**62."""
+    text = F.xxhash64(F.col(text_col))
+    stand_in = text.bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    d = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id"), text.alias("doc"), F.col(text_col).alias("text")
+    )
+    kept = near_duplicates(d.select("id", "text"), id_col="id", text_col="text", **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return d.drop("text").join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "doc"]).select("row.*")

@@ -40,3 +40,11 @@ def test_quality_stage_removes_lines(spark):
     assert len(got) == 200
     for i, r in got.items():
         assert r["text"] == (f"{own(i)}\n \nrare line {i % 2}\n" if i < 25 else own(i)) and r["n_chars"] == len(r["text"])
+
+
+def test_dedup_stage_keeps_null_ids_and_one_row_of_copies(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    data = [(None, text(0)), (None, text(0)), (None, text(1)), (None, text(2) + " end"), (7, text(2)), (8, text(3)), (8, text(3)), (8, text(4)), (9, text(3)), (None, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in rows(corpus_pipeline.STAGES[2][1](spark, df, SF)))
+    assert got == Counter([(None, text(0)), (None, text(1)), (7, text(2)), (8, text(3)), (8, text(4)), (None, None), (5, "")])
