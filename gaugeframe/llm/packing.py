@@ -1,28 +1,31 @@
 """Packing token sequences: first-fit decreasing with a tournament tree, in random groups.
 
 A document's ids are cut into pieces of at most the capacity: full pieces are sequences of
-their own, and the rest is packed.  Rests are dealt by hash into groups of about
-``group_docs`` documents; each group is packed on its own by first-fit decreasing, where a
-tournament tree over the bins' free space finds the first bin that fits in O(log n).  A
-group's memory is a few numbers a document, and nothing crosses groups, so padding stays
-at about half a sequence a group and groups run on any executor.
-
-Defined cases: a null text is the empty one (only the end id); repeated rows are packed
-each for itself; columns other than the id and the text are ignored; an empty table gives
-an empty result.
+their own, and the rest is packed.  The pieces are written once, then dealt into groups of
+about ``group_pieces`` by the hash of their place in what was written, so that neither a
+very long document nor any number of equal rows makes a group larger.  Each group is packed
+on its own by first-fit decreasing, where a tournament tree over the bins' free space finds
+the first bin that fits in O(log n).  A group's memory is a few numbers a piece, and nothing
+crosses groups, so padding stays at about half a sequence a group and groups run on any
+executor.
+
+Defined cases: a null text is the empty one (only the end id); a null id is kept; a text of
+any length is encoded whole; pieces of equal length are placed in the order of id and start
+(equal rows in any order, as they are interchangeable); repeated rows are packed each for
+itself; columns other than the id and the text are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import zlib
-from unicodedata import normalize
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, worker_memo
+from .common import materialise, per_text, worker_memo
 
 #: Entries of the memo of words; beyond it words are encoded each time.
 MEMO = 600_000
@@ -64,9 +67,10 @@ def first_fit_decreasing(lengths, capacity: int) -> tuple[list[int], list[int]]:
 
 class WordEncoder:
     """Ids of whole texts as little-endian bytes.  The tokenizer drops white space and merges
-    within words only, so words are encoded apart and memoised.  New words are encoded many at a
-    time, in one text, and told apart by the ids that end a word: each piece of the tokenizer's
-    pattern has one, and the pattern says how many pieces a word has."""
+    within words only, so words are encoded apart and memoised.  New ASCII words are encoded many
+    at a time, in one line, and told apart by the ids that end a piece: on ASCII the tokenizer's
+    normaliser only lower-cases, so its pattern says how many pieces each word has.  Other words
+    change under normalisation in ways of their own, and each is encoded by itself."""
 
     #: Fixed value: the tokenizer's pattern, of normalised text.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -84,18 +88,19 @@ class WordEncoder:
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, new: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        lines = [new[i : i + self.LINE] for i in range(0, len(new), self.LINE)]
+    def words(self, new: list[str]) -> dict[str, bytes]:
+        plain = [w for w in new if not w.isascii() or "<|" in w]  # "<|" may begin a special token
+        out = dict(zip(plain, self.plain(plain), strict=True))
+        easy = [w for w in new if w not in out]
+        lines = [easy[i : i + self.LINE] for i in range(0, len(easy), self.LINE)]
         for line, data in zip(lines, self.plain([" ".join(line) for line in lines]), strict=True):
-            count = [1 if w.isalpha() and w.lower().isalpha() else len(self.PIECES.findall(w if w.isascii() else normalize("NFC", w))) for w in line]
+            count = [1 if w.isalpha() else len(self.PIECES.findall(w.lower())) for w in line]
             stops = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
             at = np.cumsum(count)
-            if "<|" in "".join(line) or len(stops) != at[-1] or 0 in count:
-                out += self.plain(line)
-            else:
-                cuts = [0, *stops[at - 1].tolist()]
-                out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(stops) != at[-1]:
+                raise AssertionError(f"{len(stops)} pieces where the pattern says {at[-1]}")
+            cuts = [0, *stops[at - 1].tolist()]
+            out.update((w, data[a:b]) for w, a, b in zip(line, cuts[:-1], cuts[1:], strict=True))
         return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -104,8 +109,7 @@ class WordEncoder:
             part = [t.split() if not any(c in t for c in SEPARATORS) else [t] for t in texts[i : i + 500]]
             new = set().union(*part).difference(self.memo)
             whole = [w for ws, t in zip(part, texts[i : i + 500], strict=True) if ws == [t] for w in ws if w in new]
-            new = list(new.difference(whole))
-            fresh = dict(zip(new, self.words(new), strict=True)) | dict(zip(whole, self.plain(whole), strict=True))
+            fresh = self.words(list(new.difference(whole))) | dict(zip(whole, self.plain(whole), strict=True))
             if len(self.memo) + len(fresh) <= MEMO:
                 self.memo.update(fresh)
                 known = self.memo
@@ -154,15 +158,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col="doc_i
     return per_text(docs, make, {"pieces": kind, "doc_tokens": "long"}, id_col, text_col)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, group_docs: int = 16384, id_col="doc_id", text_col="text", with_ids=False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, group_pieces: int = 16384, id_col="doc_id", text_col="text", with_ids=False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
-    (and ids).  sequence_id is unique over the result: group * 2**32 + bin; within a group the
-    bins of full pieces follow those of the packed ones."""
-    groups = max(1, -(-docs.count() // group_docs))
-    # whole documents go to a group, salted by what they hold: copies of one id spread too
+    (and ids).  sequence_id is unique over the result: group * 2**32 + bin."""
     p = pieces(docs, path, end_id, capacity, id_col, text_col, with_ids)
-    p = p.withColumn("group", F.pmod(F.xxhash64("doc_id", F.col("pieces")[0]["ids_crc32"], F.lit(17)), F.lit(groups)))
-    flat = p.select("doc_id", "group", "doc_tokens", F.explode("pieces").alias("p")).select("doc_id", "group", "doc_tokens", "p.*")
+    flat = materialise(p.select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select("doc_id", "doc_tokens", "p.*"))
+    groups = max(1, -(-flat.count() // group_pieces))
+    # a written row's place is the same whenever it is read again, unlike that of a row behind a shuffle
+    flat = flat.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), F.lit(groups)))
     kind = p.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.replace(", ", ",").split(",")]

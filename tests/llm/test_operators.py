@@ -1,7 +1,11 @@
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -95,6 +99,34 @@ def test_word_encoder_is_the_tokenizer(text):
     assert enc.batch([text]) == [want]
 
 
+#: Words that lower-casing and NFC change in number of characters or pieces.
+ODD_WORDS = ["IT'S", "hello", "İ1", "world", "ŉ", "ǰ", "N'T", "a'S", "'S'", "ΑΣ", "é'RE", "ﬁx", "Å", "12'Ll", "don't", "DON'T", "\u0301a", "ß", "Ǆ1", "it’s", "x<|endoftext|>y", "e\u0301", "İ'S"]
+
+
+@given(st.permutations(ODD_WORDS))
+@settings(max_examples=100, deadline=None)
+def test_word_encoder_in_any_order(words):
+    enc = packing.encoder(CLIP)
+    enc.memo = {}
+    text = " ".join(words)
+    assert enc.batch([text]) == [np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_word_encoder_under_any_hash_seed(seed):
+    code = "import sys; from gaugeframe.llm.packing import WordEncoder as E; e = E(sys.argv[1]); t = sys.argv[2]; w = e.plain([t]); sys.exit(e.batch([t]) != w)"
+    ran = subprocess.run([sys.executable, "-c", code, CLIP, " ".join(ODD_WORDS)], env=os.environ | {"PYTHONHASHSEED": str(seed)}, cwd=Path(__file__).parents[2])
+    assert ran.returncode == 0
+
+
+def test_packing_spreads_equal_rows_and_one_long_text(spark):
+    df = spark.createDataFrame([(1, "same words")] * 900 + [(2, "long " * 60000)], "doc_id long, text string")
+    out = rows(packing.pack(df, CLIP, group_pieces=100))
+    groups = Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(groups) == 10 and max(groups.values()) < 150
+    assert sorted((r["start"], r["length"]) for r in out if r["doc_id"] == 2)[-1][0] == 14 * 4096 and len(out) == 915
+
+
 # 2 URL filters
 def test_url_rules():
     f = lambda u: (lambda hp: (*hp, url_filter.fitting_rule(*hp)))(url_filter.split_url(u))
