@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gaugeframe.llm import ann, bpe, html_text, langid, license, lm, neardup, packing, quality, url_filter
 
@@ -203,6 +204,41 @@ def test_ann_edge_cases(spark):
     assert got == list(range(1, 11))
 
 
+def test_ann_repeated_rows_and_clashing_columns(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 0.1]), (3, [1.0, 0.1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for c in ("row", "shard", "asks", "v", "score", "rank", "query_id", "n"):
+        df = df.withColumn(c, F.lit("x"))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in rows(ann.search(df)))
+    near, far = round(0.1, 6), round(2**0.5, 6)
+    other = round((1 + 0.81) ** 0.5, 6)
+    want = Counter({(0, 1, 0, 0.0): 2, (0, 2, 3, near): 2, (0, 3, 3, near): 2, (0, 4, 0, far): 2, (0, 1, 3, other): 1, (0, 2, 3, other): 1, (0, 3, 0, far): 1})
+    want[0, 4, 0, far] += 1
+    assert got == want
+
+
+def test_ann_does_not_depend_on_shards(spark):
+    """Small shards search each for itself; their lists join."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    one, many = (Counter((r["query_id"], r["vec_id"]) for r in rows(ann.search(df, shard_rows=s))) for s in (65536, 50))
+    assert sum((one & many).values()) >= 0.9 * sum(one.values())
+
+
+def test_forest_levels():
+    """The halved search finds the level that ascending bit by bit stops at; prefixes are those of the strings."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    f = ann.HashPrefixForest(x, 6)
+    keys, own = f.hashes(x[:20]), f.hashes(x)
+    stops = f.stops(keys, 120)
+    for j in range(20):
+        same = np.array([[ann.BITS - int(a ^ b).bit_length() for b in t] for a, t in zip(keys[:, j], own)])
+        up = next(u for u in range(ann.BITS + 1) if (same >= ann.BITS - u).sum() >= 120)
+        assert stops[j] == up
+        assert (f.shared(keys[:, j], up) == np.maximum(same - (ann.BITS - up) + 1, 0).sum(0)).all()
+
+
 # 4 LM
 @both
 def test_lm_counts_and_base_score(spark, which):
