@@ -254,22 +254,113 @@ def test_lm_counts_and_base_score(spark, which):
     out = rows(lm.score_documents(docs_of(spark, which)))
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     if which == "sf":
-        fresh = [r for r in out if r["held_out"]]
-        assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
+        for held_out in (True, False):
+            some = [r for r in out if r["held_out"] == held_out]
+            assert sum(r["score"] for r in some) > sum(r["base_score"] for r in some)
     assert all(r["score"] < 0 for r in out)
 
 
+def lm_plain(data, weights):
+    """Deleted interpolation token by token: Counter of (id, score), and the tokens put aside."""
+    held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, *_ in data]
+    texts = [WORDS.findall(lower(t or "")) + [lm.END] for _, t, *_ in data]
+
+    def grams(ts):
+        c = Counter({("n",): len(ts), lm.START: 1})
+        for i, w in enumerate(ts):
+            c[w] += 1
+            v = ts[i - 1] if i else lm.START
+            c[v, w] += 1
+            if i:
+                c[(ts[i - 2] if i > 1 else lm.START), v, w] += 1
+        return c
+
+    def tokens(ts, c, kinds):
+        for i, w in enumerate(ts):
+            v = ts[i - 1] if i else lm.START
+            before = ((ts[i - 2] if i > 1 else lm.START), v) if i else lm.START
+            triple = ((ts[i - 2] if i > 1 else lm.START), v, w) if i else (v, w)
+            yield lm.estimates(*(np.array([c[k]]) for k in (w, v, (v, w), before, triple)), c["n",], kinds)
+
+    def total(of):
+        c = Counter()
+        for ts, o in zip(texts, of):
+            if o:
+                c.update(grams(ts))
+        return c, sum(c[k] > 0 for k in c if isinstance(k, (str, bytes)) and k != lm.START)
+
+    every, kinds = total([not h for h in held])
+    scores = Counter()
+    for (d, *_), h, ts in zip(data, held, texts):
+        c = every
+        if not h:
+            c = Counter(every)
+            c.subtract(grams(ts))
+        scores[d, round(float(sum(np.log10((weights[r] * p).sum()) for r, p in tokens(ts, c, kinds))), 5)] += 1
+
+    def put_aside(flags):
+        c, k = total([not h and not f for h, f in zip(held, flags)])
+        found = [x for ts, h, f in zip(texts, held, flags) if f and not h for x in tokens(ts, c, k)]
+        return np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])
+
+    return scores, put_aside
+
+
+def some_weights():
+    w = np.random.default_rng(1).random((2 * lm.LEVELS, 4))
+    w[: lm.LEVELS, 3] = w[0, 2] = 0
+    return w / w.sum(1, keepdims=True)
+
+
+@both
+def test_lm_score_by_brute_force(spark, which):
+    data = [(d, t[:4000] if t else t) for d, t, *_ in plain(which)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = lm_plain(data, some_weights())[0]
+    for sizes in ({}, {"block_bytes": 5000, "bucket_bytes": 2000, "fanout": 3}):  # one block and bucket; many of them, through relays
+        out = rows(lm.score_documents(df, weights=some_weights(), **sizes))
+        assert Counter((r["doc_id"], round(r["score"], 5)) for r in out) == want
+
+
+def test_lm_weights_by_brute_force(spark):
+    """The EM on the table of cells does as well as the EM on all tokens put aside."""
+    data = [(d, t[:3000]) for d, t, *_ in documents() if t]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    flags = [r.f for r in df.select((F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(5)) == 0).alias("f")).collect()]
+    row, p = lm_plain(data, some_weights())[1](flags)
+    weights = lm.expectation_maximisation(row, p, np.ones(len(row)))
+    cells = lm.tabulate(row, p)
+    n = cells["n"]
+    means = np.stack([np.full(len(n), p[0, 0]), *[cells[f"p{j}"] / n for j in (1, 2, 3)]], 1)
+    rough = lm.expectation_maximisation(cells["cell"] // lm.BINS**3, means, n)
+    best, got = (np.log((w[row] * p).sum(1)).mean() for w in (weights, rough))
+    assert got > best - 0.002 * abs(best)
+    want = sum(s * k for (_, s), k in lm_plain(data, weights)[0].items())
+    assert abs(sum(r["score"] for r in rows(lm.score_documents(df))) / want - 1) < 0.005
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{min(rng.zipf(1.2), 3000)}" for _ in range(150))
+    data = [(i, text()) for i in range(400)]
+    data += [(400 + i, data[i][1]) for i in range(60)]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows(lm.score_documents(spark.createDataFrame(data, "doc_id long, text string")))}
+    twice, once = (np.array([out[i] for i in ids if zlib.crc32(str(i).encode()) % 5 != 1]) for ids in (range(60), range(60, 400)))
+    assert np.mean([np.mean(t > once) for t in twice]) > 0.75
+
+
 def test_lm_is_a_distribution():
-    """The mixture over all words that may follow a context sums to 1."""
-    w = lm.expectation_maximisation({(3, 10, 2): 5.0, (1, 20, -1): 7.0, (0, 8, -1): 2.0}, 1e-3)
-    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 2] == 0
+    """Weights of every row sum to 1, and give nothing to what can't follow."""
+    row, p = np.array([lm.LEVELS + 1, 1, 0]), np.array([[1e-3, 0.1, 0.2, 1.0], [1e-3, 0.1, 0.5, 0], [1e-3, 0.2, 0, 0]])
+    w = lm.expectation_maximisation(row, p, np.array([5.0, 7.0, 2.0]))
+    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 2] == 0 and (w[: lm.LEVELS, 3] == 0).all()
 
 
 def test_lm_packing_of_numbers():
     k = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (lm.unpack_keys(lm.pack_keys(k)) == k).all()
-    c = np.arange(77, dtype=np.uint32)
-    assert (lm.unpack_numbers(lm.pack_numbers(c), np.uint32) == c).all()
+    c = np.arange(77, dtype=np.uint64) * 2**33  # counts over 32 bits
+    assert (lm.unpack_numbers(lm.pack_numbers(c), np.uint64) == c).all()
 
 
 # 5 quality
