@@ -9,7 +9,7 @@ estimates count both parts, and a training document is scored with its own count
 that it doesn't predict itself and its score compares with a held-out document's.
 
 Counting is distributed.  Documents are packed into blocks of about ``block_bytes`` of text,
-where they stand; blocks are written once.  A block counts its own words, pairs and triples in
+where they stand; blocks are written once, as numbers of their own words.  A block counts its own words, pairs and triples in
 numpy, as hashes, and sends each counting bucket one packed row of its distinct keys and
 counts; a bucket adds up what all blocks sent and answers each block with the corpus counts of
 that block's keys, in its order.  So keys cross the network once a block, pre-aggregated, hot
@@ -53,13 +53,26 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Numbers(dict):
-    """Words to numbers, in order of first sight."""
+class Words(dict):
+    """Words to numbers, in order of first sight, and the texts' tokens as numbers."""
+
+    def __init__(self):
+        super().__init__({START: 0, END: 1})
+        self.sizes, self.parts = [], []
 
     def __missing__(self, word):
         n = self[word] = len(self)
         return n
 
+    def add(self, text: bytes) -> None:
+        words = text.lower().split()
+        self.sizes.append(len(words) + 1)
+        self.parts += [np.fromiter(map(self.__getitem__, words), np.uint32, len(words)), np.ones(1, np.uint32)]
+
+    def packed(self) -> tuple[list[int], bytes, bytes]:
+        """(tokens of each text, hashes of the words in order, all tokens)."""
+        return self.sizes, np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self)).tobytes(), pack_numbers(np.concatenate(self.parts))
+
 
 def pack_numbers(x: np.ndarray) -> bytes:
     """Rising or small unsigned numbers: differences if rising, byte planes, zstd."""
@@ -85,23 +98,13 @@ class Block:
     (odd).  Each token's places in them: word, context (the word before), pair (both), first (the
     pair before; of a text's first token, the start), triple (of a first token, its pair)."""
 
-    def __init__(self, texts: list[bytes], bits: int):
-        number = Numbers()
-        end, start = number[END], number[START]
-        sizes, parts, stop = [], [], np.array([end], np.int32)
-        for t in texts:
-            words = t.lower().split()
-            sizes.append(len(words) + 1)
-            parts += [np.fromiter(map(number.__getitem__, words), np.int32, len(words)), stop]
+    def __init__(self, sizes: list[int], hashes: bytes, words: bytes, bits: int):
+        hashes, word = np.frombuffer(hashes, np.uint64), unpack_numbers(words, np.uint32).astype(np.int32)
         self.n = np.array(sizes, np.int64)
         self.begin = np.cumsum(self.n) - self.n
-        word = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        del parts
         context = np.empty_like(word)
         context[1:] = word[:-1]
-        context[self.begin] = start
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-        del number
+        context[self.begin] = 0
         pairs, pair = np.unique(context.astype(np.int64) << 32 | word, return_inverse=True)
         two = mix(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
         inner = np.ones(len(word), bool)
@@ -113,7 +116,7 @@ class Block:
         every = np.concatenate([(hashes >> cut) & ~one, (two >> cut) | one, (three >> cut) | one])
         self.keys, place = np.unique(every, return_inverse=True)
         place = place.astype(np.int32)
-        self.word, self.context, self.start = place[word], place[context], int(place[start])
+        self.word, self.context, self.start = place[word], place[context], int(place[0])
         self.pair = place[len(hashes) :][pair]
         self.first = np.full(len(word), self.start, np.int32)
         self.first[inner] = self.pair[inner - 1]
@@ -200,8 +203,8 @@ def expectation_maximisation(row: np.ndarray, p: np.ndarray, n: np.ndarray, roun
 
 
 def _blocks(docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, aside, bytes, ids, held_out, sizes, texts): documents where they stand, those put
-    aside for the EM in blocks of their own; texts is one compressed string."""
+    """(block, aside, bytes, ids, held_out, sizes, hashes, words): the tokens of documents where they
+    stand, those put aside for the EM in blocks of their own."""
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("text"),
@@ -211,39 +214,36 @@ def _blocks(docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col
     kind = d.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
+    class Open:
+        def __init__(self):
+            self.ids, self.held, self.words, self.size = [], [], Words(), 0
+
+    kinds = {"aside": pa.bool_(), "bytes": pa.int64(), "ids": pa.list_(id_type), "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "hashes": pa.binary(), "words": pa.binary()}
+
     def run(batches):
-        z = zstandard.ZstdCompressor(level=3)
-        open_: dict[bool, list] = {False: [[], [], [], 0], True: [[], [], [], 0]}
+        now = {False: Open(), True: Open()}
 
         def close(aside):
-            ids, held, texts, size = open_[aside]
-            open_[aside] = [[], [], [], 0]
-            columns = [[aside], [size], [ids], [held], [[len(t) for t in texts]], [z.compress(b"".join(texts))]]
-            kinds = [pa.bool_(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["aside", "bytes", "ids", "held_out", "sizes", "texts"])
+            o, now[aside] = now[aside], Open()
+            row = [aside, o.size, o.ids, o.held, *o.words.packed()]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
         for b in small(batches):
             for doc_id, text, held, aside in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                o = open_[aside]
-                o[0].append(doc_id), o[1].append(held), o[2].append(text)
-                o[3] += len(text) + 1
-                if o[3] >= block_bytes:
+                o = now[aside]
+                o.ids.append(doc_id), o.held.append(held), o.words.add(text)
+                o.size += len(text) + 1
+                if o.size >= block_bytes:
                     yield close(aside)
         for aside in (False, True):
-            if open_[aside][0]:
+            if now[aside].ids:
                 yield close(aside)
 
-    schema = f"aside boolean, bytes long, ids array<{kind.simpleString()}>, held_out array<boolean>, sizes array<long>, texts binary"
+    schema = f"aside boolean, bytes long, ids array<{kind.simpleString()}>, held_out array<boolean>, sizes array<long>, hashes binary, words binary"
     # a written row's place is the same whenever it is read again
     return materialise(d.mapInArrow(run, schema)).withColumn("block", F.monotonically_increasing_id())
 
 
-def _load(sizes: list[int], texts: bytes, bits: int) -> Block:
-    data = zstandard.ZstdDecompressor().decompress(texts) if sum(sizes) else b""
-    cuts = np.cumsum([0, *sizes]).tolist()
-    return Block([data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)], bits)
-
-
 def _sums(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """What senders' rows (keys; parts: counts retained, then put aside) add up to: the keys, 2 x keys
     counts, and each row's places in them."""
@@ -277,8 +277,8 @@ def _count(blocks: DataFrame, buckets: int, fanout: int, bits: int) -> DataFrame
 
     def count(batches):
         for b in batches:
-            for block, aside, held, sizes, texts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                own = _load(sizes, texts, bits)
+            for block, aside, held, *packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = Block(*packed, bits)
                 counts = own.counts(~np.array(held, bool))
                 parts = np.zeros((2, len(counts)), np.int64)
                 parts[int(aside)] = counts
@@ -301,7 +301,7 @@ def _count(blocks: DataFrame, buckets: int, fanout: int, bits: int) -> DataFrame
         return out
 
     answered = "counts binary, " + ", ".join(f"{c} long" for c in TOTALS)
-    sent = blocks.select("block", "aside", "held_out", "sizes", "texts").mapInArrow(count, "bucket int, block long, aside boolean, keys binary, parts binary")
+    sent = blocks.select("block", "aside", "held_out", "sizes", "hashes", "words").mapInArrow(count, "bucket int, block long, aside boolean, keys binary, parts binary")
     if first == buckets:
         return materialise(sent.groupBy("bucket").applyInArrow(answer, f"bucket int, block long, aside boolean, {answered}"))
 
@@ -329,7 +329,7 @@ def _count(blocks: DataFrame, buckets: int, fanout: int, bits: int) -> DataFrame
 
 
 def score_documents(
-    docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", text_col="text", block_bytes=1 << 24, bucket_bytes=1 << 23, fanout=1024, weights: np.ndarray | None = None
+    docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", text_col="text", block_bytes=1 << 23, bucket_bytes=1 << 23, fanout=1024, weights: np.ndarray | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     (add-half unigrams, of all training tokens) and score (the model's), both log10 of the text.
@@ -348,10 +348,10 @@ def score_documents(
 
     def read(t: pa.Table) -> tuple[Block, np.ndarray]:
         row = t.to_pylist()[0]
-        return _load(row["sizes"], row["texts"], bits), np.array(row["held_out"], bool)
+        return Block(row["sizes"], row["hashes"], row["words"], bits), np.array(row["held_out"], bool)
 
     together = lambda b, a: b.groupBy("block").cogroup(a.select("block", "bucket", "counts").groupBy("block"))
-    packed = blocks.select("block", "ids", "held_out", "sizes", "texts")
+    packed = blocks.select("block", "ids", "held_out", "sizes", "hashes", "words")
 
     def aside_tokens(t, a):
         """Table of the training tokens that were put aside, for the EM."""
