@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import holdout, materialise, ship, small
+from .common import give_back, holdout, materialise, ship, small
 
 #: Fixed names of the end token, and of the context before the first word.  No word holds a blank.
 END, START = b" end", b" start"
@@ -235,9 +235,12 @@ def _blocks(docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col
                 o.size += len(text) + 1
                 if o.size >= block_bytes:
                     yield close(aside)
+                    give_back()
         for aside in (False, True):
             if now[aside].ids:
                 yield close(aside)
+        now.clear()
+        give_back()
 
     schema = f"aside boolean, bytes long, ids array<{kind.simpleString()}>, held_out array<boolean>, sizes array<long>, hashes binary, words binary"
     # a written row's place is the same whenever it is read again
@@ -283,6 +286,8 @@ def _count(blocks: DataFrame, buckets: int, fanout: int, bits: int) -> DataFrame
                 parts = np.zeros((2, len(counts)), np.int64)
                 parts[int(aside)] = counts
                 to, keys, parts = _cut(own.keys, parts, first, bits)
+                del own, counts
+                give_back()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to, pa.int32()), pa.array([block] * len(to), pa.int64()), pa.array([aside] * len(to), pa.bool_()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary())],
                     names=["bucket", "block", "aside", "keys", "parts"],
@@ -291,6 +296,7 @@ def _count(blocks: DataFrame, buckets: int, fanout: int, bits: int) -> DataFrame
     start = np.uint64((xxhash.xxh3_64_intdigest(START) >> (64 - bits)) & ~1)
 
     def answer(key, t):
+        give_back()  # what the bucket before took
         every, total, places = _sums(t)
         words = (every & np.uint64(1) == 0) & (every != start)
         both, n = total.sum(0), len(t)
@@ -347,6 +353,7 @@ def score_documents(
         return np.concatenate([unpack_numbers(x, np.uint64).reshape(2, -1) for x in a.sort_by("bucket")["counts"].to_pylist()], 1).astype(np.int64)
 
     def read(t: pa.Table) -> tuple[Block, np.ndarray]:
+        give_back()  # what the block before took
         row = t.to_pylist()[0]
         return Block(row["sizes"], row["hashes"], row["words"], bits), np.array(row["held_out"], bool)
 
