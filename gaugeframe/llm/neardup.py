@@ -19,7 +19,14 @@ Nothing is capped, and no list is expanded into all its pairs:
   leaves the result exact: a pair inside one component can't change it.  Long lists are compared
   block by block in numpy, and only similar pairs come out, as few as connect the same members.
 
-Links and components stay distributed: labels are contracted edge by edge until none is left.
+A pair exactly at the threshold is lost if its sketches agree five standard deviations less
+than expected, twice in 10 million pairs.  ``exact=True`` loses none: full sets take the sketches'
+place, and lists hold what the prefix filter needs, at the cost of longer lists.
+
+Links and components stay distributed: each node points to its smallest neighbour, pointers are
+doubled until they reach a root, and the links between roots go on, so that the rounds grow with
+the logarithm of a chain's length.  Copies find their class without one task for a class: the
+classes of very many copies, of which there can only be few, are broadcast.
 
 Defined cases: null text, or text without words, has no shingles and links with nothing;
 fewer words than a shingle are one shingle; repeated rows each get a row; rows that share an
@@ -37,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small, worker_memo
+from .common import materialise, release, ship, small, worker_memo
 from .lm import mix
 
 MEMO = 150_000
@@ -87,60 +94,92 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, width: int, k: int | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n and the k smallest hashes (all without k), as signed longs in unsigned order; with
-    k also the 128-bit hash of the set."""
+def _sets(docs: DataFrame, width: int, k: int | None, digest: bool, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n and the k smallest hashes (all if None), as signed longs in unsigned order; with
+    ``digest`` also the 128-bit hash of the set."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "n", "hashes"] + ["sh1", "sh2"] * (k is not None)
+    names = ["doc_id", "n", "hashes"] + ["sh1", "sh2"] * digest
 
     def run(batches):
         for b in small(batches):
             sets = shingle_sets(b.column(1).to_pylist(), width)
             cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            if k is not None:
+            if digest:
                 digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 cols += [pa.array([(d >> at) % 2**64 - 2**63 for d in digests], pa.int64()) for at in (0, 64)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return d.mapInArrow(run, "doc_id long, n long, hashes array<long>" + (", sh1 long, sh2 long" if k is not None else ""))
+    return d.mapInArrow(run, "doc_id long, n long, hashes array<long>" + (", sh1 long, sh2 long" if digest else ""))
+
+
+def _roots(parent: DataFrame) -> DataFrame:
+    """(a, p) with p the root that the pointers of ``parent`` lead to; pointers go to smaller nodes."""
+    while True:
+        hops = parent.where("a <> p").select(F.col("a").alias("via"), F.col("p").alias("next"))
+        hops = hops.join(parent.select(F.col("p").alias("via")).distinct(), "via")  # pointers that others lead to
+        if hops.isEmpty():
+            return parent
+        further = parent.join(hops, F.col("p") == F.col("via"), "left").select("a", F.coalesce("next", "p").alias("p"))
+        further = materialise(further)
+        release(parent)
+        parent = further
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable from each node of the links (a, b)."""
     edges = materialise(links.where("a <> b").select("a", "b").distinct())
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    labels = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
-        labels = materialise(labels.join(parent, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        parent = _roots(materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))))
+        further = materialise(labels.join(parent, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
         pa_, pb = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = edges.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-        edges = materialise(edges.distinct())
+        rest = edges.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        rest = materialise(rest.distinct())
+        release(labels, parent, edges)
+        labels, edges = further, rest
+    release(edges)
     return labels
 
 
-def near_duplicates(docs: DataFrame, width=5, percent=75, k=256, screen=24, rounds=1, id_col="doc_id", text_col="text") -> DataFrame:
+#: Classes that are broadcast, at most; a class is if it holds more than this share of all rows.
+HOT_CLASSES = 100_000
+
+
+def _shared_ids(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id.  An id's classes meet in 64 groups
+    first, so that no id has one task for all."""
+    ids = members.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    of = members.select("doc_id", "sh1", "sh2").join(ids, "doc_id", "left_semi").join(classes.select("sh1", "sh2", "rep"), ["sh1", "sh2"])
+    of = materialise(of.select("doc_id", "rep", F.pmod(F.xxhash64("rep"), F.lit(64)).alias("part")).distinct())
+    heads = of.groupBy("doc_id", "part").agg(F.min("rep").alias("head"))
+    tops = heads.groupBy("doc_id").agg(F.min("head").alias("top"))
+    links = of.join(heads, ["doc_id", "part"]).select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    links = links.unionByName(heads.join(tops, "doc_id").select(F.col("top").alias("a"), F.col("head").alias("b")))
+    return links.where("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width=5, percent=75, k=256, screen=24, rounds=1, exact=False, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     similarity = percent / 100
+    if exact:
+        k = screen = None
     ship(docs.sparkSession)
-    every = materialise(_sets(docs, width, screen, id_col, text_col))
+    every = materialise(_sets(docs, width, screen, True, id_col, text_col))
     members = every.where("n > 0 and doc_id is not null")
-    classes = members.groupBy("sh1", "sh2").agg(F.min("doc_id").alias("rep"))
-    reps = members.join(classes.select("sh1", "sh2", F.col("rep").alias("doc_id")), ["sh1", "sh2", "doc_id"], "left_semi")
-    reps = reps.dropDuplicates(["sh1", "sh2"]).select(F.col("doc_id").alias("rep"), "n", "hashes")
+    # equal sets have equal sketches
+    classes = members.groupBy("sh1", "sh2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    classes = materialise(classes)
+    reps = classes.select("rep", "n", "hashes")
     involved = _shared(reps, screen, similarity).select("rep").distinct()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(involved, F.col("doc_id") == F.col("rep"), "left_semi")
-    full = _sets(texts, width, None, "doc_id", "text").where("n > 0")
+    full = _sets(texts, width, None, False, "doc_id", "text").where("n > 0")
     full = materialise(full.select(F.col("doc_id").alias("rep"), "n", "hashes").dropDuplicates(["rep", "hashes"]))
-    reps = full.select("rep", "n", F.slice("hashes", 1, k).alias("hashes"))
+    reps = full.select("rep", "n", (F.slice("hashes", 1, k) if k else F.col("hashes")).alias("hashes"))
     lists = materialise(_lists(reps, k, similarity))
 
-    # rows that share an id are one document
-    of = members.select("doc_id", "sh1", "sh2").join(classes, ["sh1", "sh2"]).groupBy("doc_id")
-    of = of.agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("every")).where("a <> b")
-    links = of.select("a", F.explode("every").alias("b")).where("a <> b")
-
+    links = _shared_ids(members, classes)
     for turn in range(rounds + 1):
         links = materialise(links)
         labels = components(links)
@@ -150,25 +189,40 @@ def near_duplicates(docs: DataFrame, width=5, percent=75, k=256, screen=24, roun
         pairs = fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionByName(_verified(pairs, reps, full.drop("n"), k, percent))
     labels = components(links)
-
-    rep = every.join(classes, ["sh1", "sh2"], "left").select("doc_id", "n", "rep")
-    out = rep.join(labels, F.col("rep") == F.col("node"), "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep")))
+    return _of_rows(every, classes, labels)
+
+
+def _of_rows(every: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The result: each row finds the component of its class, or its own if it's the only one."""
+    n = every.count()
+    hot = max(1000, -(-n // HOT_CLASSES))  # under n / hot classes hold more rows
+    copied = classes.where("m > 1").join(labels, F.col("rep") == F.col("node"), "left").select("sh1", "sh2", "m", F.coalesce("comp", "rep").alias("comp"))
+    copied = materialise(copied)
+    rows = every.select("doc_id", "n", "sh1", "sh2").join(F.broadcast(copied.where(F.col("m") > hot).drop("m")), ["sh1", "sh2"], "left")
+    known = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("comp").isNotNull()
+    done = rows.where(known).select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+    rest = rows.where(~known).drop("comp").join(copied.where(F.col("m") <= hot).drop("m"), ["sh1", "sh2"], "left")
+    rest = rest.join(labels.select("node", F.col("comp").alias("own")), F.col("doc_id") == F.col("node"), "left")
+    out = done.unionByName(rest.select("doc_id", "n", F.coalesce("comp", "own", "doc_id").alias("comp")))
+    comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _shared(reps: DataFrame, k: int, similarity: float) -> DataFrame:
+def _shared(reps: DataFrame, k: int | None, similarity: float) -> DataFrame:
     """(rep, n, vs, least): the sketch values that another representative retained too, rarest
     first, of those that hold at least as many (least) as a similar one would share."""
     values = reps.select("rep", F.explode("hashes").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     kept = values.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
-    table = F.array(*[F.lit(need(s, k, similarity)) for s in range(k + 1)])
-    sizes = reps.select(F.col("rep").alias("rep2"), "n", F.element_at(table, F.size("hashes") + 1).alias("least"))
+    if k is None:
+        least = F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int")
+    else:
+        least = F.element_at(F.array(*[F.lit(need(s, k, similarity)) for s in range(k + 1)]), F.size("hashes") + 1)
+    sizes = reps.select(F.col("rep").alias("rep2"), "n", least.alias("least"))
     return kept.join(sizes, F.col("rep") == F.col("rep2")).where(F.size("vs") >= F.col("least")).select("rep", "n", "vs", "least")
 
 
-def _lists(reps: DataFrame, k: int, similarity: float) -> DataFrame:
+def _lists(reps: DataFrame, k: int | None, similarity: float) -> DataFrame:
     """(v, rep, n): the inverted lists of the rarest retained values that candidates must share.
     Values of one representative only would come first in the order; they're no one else's."""
     front = F.slice("vs", 1, F.size("vs") - F.col("least") + 1)
@@ -259,8 +313,8 @@ def overlaps(values: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarr
     return np.rint(out).astype(np.int64), lengths.astype(np.int64)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; the sketches filter first."""
+def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int | None, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; the sketches, if shorter, filter first."""
 
     def both(p, t):
         a, b = t.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), t.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
@@ -279,7 +333,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, k: int, percen
         s = percent / 100
         return j >= s - 5 * math.sqrt(s * (1 - s) / max(1, n)) if n >= k else 100 * j >= percent - 1e-6
 
-    passed = both(pairs, reps).mapInArrow(tested(near), "a long, b long").distinct()
+    passed = both(pairs, reps).mapInArrow(tested(near), "a long, b long").distinct() if k else pairs
     return both(passed, full).mapInArrow(tested(lambda u, v: similar(u, v, percent)), "a long, b long").distinct()
 
 

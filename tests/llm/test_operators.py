@@ -434,9 +434,10 @@ def brute_components(data):
     return Counter((d, len(s), min(low[top(i)]) if d is not None else None) for i, (d, s) in enumerate(zip(ids, sets)))
 
 
+@pytest.mark.parametrize("exact", [False, True])
 @both
-def test_near_duplicates(spark, which):
-    out = rows(neardup.near_duplicates(docs_of(spark, which)))
+def test_near_duplicates(spark, which, exact):
+    out = rows(neardup.near_duplicates(docs_of(spark, which), exact=exact))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(plain(which))
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in out)
 
@@ -455,8 +456,34 @@ def test_near_duplicates_chains_and_shared_passages(spark):
     for _ in range(60):  # a passage and little else
         data.append((len(data), " ".join(passage + [word() for _ in range(int(rng.integers(5, 60)))]), None, None))
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
-    out = rows(neardup.near_duplicates(df))
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(data)
+    for exact in (False, True):
+        out = rows(neardup.near_duplicates(df, exact=exact))
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(data)
+
+
+def test_near_duplicates_hot_classes_and_ids(spark):
+    """A class over the limit for broadcasts, empty texts, an id with many texts, and classes of two."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    data = [(i, text(0)) for i in range(1500)] + [(2000 + i, "") for i in range(300)] + [(3000, text(i)) for i in range(90, 240)] + [(4000 + i, text(300 + i // 2)) for i in range(60)]
+    data += [(5000, text(0)), (3000, text(400)), (5001, text(400))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = Counter((r["doc_id"], r["component_id"]) for r in rows(neardup.near_duplicates(df)))
+    want = Counter({(i, 0): 1 for i in range(1500)}) + Counter({(2000 + i, 2000 + i): 1 for i in range(300)}) + Counter({(3000, 3000): 151})
+    want += Counter({(4000 + i, 4000 + i // 2 * 2): 1 for i in range(60)}) + Counter({(5000, 0): 1, (5001, 3000): 1})
+    assert out == want
+
+
+@pytest.mark.parametrize("shape", ["chain", "shuffled", "star", "pairs"])
+def test_components_in_few_rounds(spark, monkeypatch, shape):
+    n, rng = 1000, np.random.default_rng(8)
+    name = rng.permutation(n) if shape == "shuffled" else np.arange(n)
+    ends = {"star": [(n, i) for i in range(n)], "pairs": [(2 * i, 2 * i + 1) for i in range(n // 2)]}.get(shape) or [(int(name[i]), int(name[i + 1])) for i in range(n - 1)]
+    made = []
+    whole = neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df: made.append(1) or whole(df))
+    got = {r["node"]: r["comp"] for r in rows(neardup.components(spark.createDataFrame(ends, "a long, b long")))}
+    assert got == ({i: i // 2 * 2 for i in range(n)} if shape == "pairs" else dict.fromkeys(set(sum(ends, ())), 0))
+    assert len(made) <= (4 * np.log2(n) if shape == "shuffled" else 15)  # tables written: three a round, and one a doubling
 
 
 # 7 HTML
