@@ -19,6 +19,7 @@ result.
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import regex
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, per_text, worker_memo
 
-#: Entries of the memo of words; beyond it words are encoded each time.
-MEMO = 600_000
+#: Entries of the memos of words and of pieces; beyond it they are encoded each time.
+MEMO = 900_000
 #: White space for Python's split() that the tokenizer's pattern doesn't take for white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -67,10 +68,10 @@ def first_fit_decreasing(lengths, capacity: int) -> tuple[list[int], list[int]]:
 
 class WordEncoder:
     """Ids of whole texts as little-endian bytes.  The tokenizer drops white space and merges
-    within words only, so words are encoded apart and memoised.  New ASCII words are encoded many
-    at a time, in one line, and told apart by the ids that end a piece: on ASCII the tokenizer's
-    normaliser only lower-cases, so its pattern says how many pieces each word has.  Other words
-    change under normalisation in ways of their own, and each is encoded by itself."""
+    within the pieces of its pattern only, so words are encoded apart and memoised.  On ASCII its
+    normaliser only lower-cases, so the pattern gives an ASCII word's pieces, and their ids are
+    memoised too.  Other words change under normalisation in ways of their own: they are encoded in
+    lines, and each id is a word's from whose characters the tokenizer says it came."""
 
     #: Fixed value: the tokenizer's pattern, of normalised text.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -84,48 +85,70 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces of ASCII; the last id of a piece is one that ends a word."""
+        out = {}
+        for i in range(0, len(new), self.LINE):
+            line = new[i : i + self.LINE]
+            data = self.plain([" ".join(line)])[0]
+            stops = ((np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()
+            if len(stops) != len(line):
+                raise AssertionError(f"{len(stops)} pieces where the pattern says {len(line)}")
+            out.update((w, data[a:b]) for w, a, b in zip(line, [0, *stops[:-1]], stops, strict=True))
+        return out
+
+    def _others(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words of any characters, none of which may hold a special token."""
+        out = {}
+        lines = [new[i : i + self.LINE] for i in range(0, len(new), self.LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(line) for line in lines], add_special_tokens=False), strict=True):
+            stops = np.cumsum([len(w) + 1 for w in line])  # each word, and the blank behind it
+            of = np.searchsorted(stops, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right")
+            cuts = np.searchsorted(of, np.arange(len(line) + 1)) * 4
+            data = np.array(e.ids, "<u4").tobytes()
+            if (np.diff(of) < 0).any():
+                raise AssertionError("the tokenizer's ids are out of order")
+            out.update((w, data[a:b]) for w, a, b in zip(line, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return out
+
     def words(self, new: list[str]) -> dict[str, bytes]:
-        plain = [w for w in new if not w.isascii() or "<|" in w]  # "<|" may begin a special token
-        out = dict(zip(plain, self.plain(plain), strict=True))
-        easy = [w for w in new if w not in out]
-        lines = [easy[i : i + self.LINE] for i in range(0, len(easy), self.LINE)]
-        for line, data in zip(lines, self.plain([" ".join(line) for line in lines]), strict=True):
-            count = [1 if w.isalpha() else len(self.PIECES.findall(w.lower())) for w in line]
-            stops = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
-            at = np.cumsum(count)
-            if len(stops) != at[-1]:
-                raise AssertionError(f"{len(stops)} pieces where the pattern says {at[-1]}")
-            cuts = [0, *stops[at - 1].tolist()]
-            out.update((w, data[a:b]) for w, a, b in zip(line, cuts[:-1], cuts[1:], strict=True))
+        special = [w for w in new if "<|" in w]  # may begin a special token
+        out = dict(zip(special, self.plain(special), strict=True))
+        out |= self._others([w for w in new if not w.isascii() and w not in out])
+        parts = {w: [w.lower()] if w.isalpha() else self.PIECES.findall(w.lower()) for w in new if w not in out}
+        with extended(self.pieces, self._pieces(list(set().union(*parts.values()).difference(self.pieces)))) as known:
+            out.update((w, b"".join([known[p] for p in ps])) for w, ps in parts.items())
         return out
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str], at_once: int = 250) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 500):
-            part = [t.split() if not any(c in t for c in SEPARATORS) else [t] for t in texts[i : i + 500]]
-            new = set().union(*part).difference(self.memo)
-            whole = [w for ws, t in zip(part, texts[i : i + 500], strict=True) if ws == [t] for w in ws if w in new]
+        for i in range(0, len(texts), at_once):
+            part = [t.split() if not any(c in t for c in SEPARATORS) else [t] for t in texts[i : i + at_once]]
+            found = [list(map(self.memo.get, ws)) for ws in part]
+            new = {w for ws, ids in zip(part, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+            whole = [w for ws, t in zip(part, texts[i : i + at_once], strict=True) if ws == [t] for w in ws if w in new]
             fresh = self.words(list(new.difference(whole))) | dict(zip(whole, self.plain(whole), strict=True))
+            out += [b"".join(ids if None not in ids else [fresh[w] if x is None else x for w, x in zip(ws, ids, strict=True)]) for ws, ids in zip(part, found, strict=True)]
             if len(self.memo) + len(fresh) <= MEMO:
                 self.memo.update(fresh)
-                known = self.memo
-            else:
-                known = _Both(self.memo, fresh)
-            out += [b"".join(map(known.__getitem__, ws)) for ws in part]
         return out
 
 
-class _Both(dict):
-    def __init__(self, memo, fresh):
-        super().__init__(fresh)
-        self.memo = memo
-
-    def __missing__(self, key):
-        return self.memo[key]
+@contextmanager
+def extended(memo: dict, fresh: dict):
+    """``memo`` with ``fresh``, which stay if there is room."""
+    memo.update(fresh)
+    try:
+        yield memo
+    finally:
+        if len(memo) > MEMO:
+            for k in fresh:
+                del memo[k]
 
 
 def encoder(path: str) -> WordEncoder:
