@@ -29,10 +29,10 @@ def classify(t: Column) -> Column:
 
 
 def compose_kind(t: Column) -> Column:
-    """Lower-case kind of a composed text: angle before radius, diameter, tolerance, linear."""
+    """Lower-case kind of a composed text: angle before radius, diameter, tolerance; else linear, words too."""
     return (
         F.when(t.contains("°"), "angle").when(t.rlike("^R"), "radius").when(t.rlike("^Ø"), "diameter")
-        .when(t.contains("±"), "tolerance").when(t.rlike(r"\d"), "linear").otherwise("unknown")
+        .when(t.contains("±"), "tolerance").when(strip(t) != "", "linear").otherwise("unknown")
     )
 
 
@@ -82,7 +82,7 @@ def has_phi_evidence(raw: Column, prefix: Column, diameter_score: Column) -> Col
 
 
 def prefix_reason(raw: Column, confidence: Column, reusable: Column, diameter_score: Column) -> Column:
-    """Why a prefix is read again, or isn't."""
+    """Why a prefix is read again, or isn't.  Fixed values: the reasons."""
     s = strip(F.coalesce(raw, F.lit("")))
     return (
         F.when(s == "", "empty_main_result").when(reusable, "reused_main_or_visual_symbol").when(confidence <= 0.95, "main_confidence_not_above_95").when(s.rlike("^[O0Q©¢C]"), "ambiguous_leading_character")

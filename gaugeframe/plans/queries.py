@@ -57,7 +57,7 @@ RANGE = f"""SELECT *, CASE WHEN regexp_matches(value, '[°''"]') THEN NULL WHEN
 
 @query(spec_sql("value, tolerance, range_min, range_max, CASE WHEN range_max IS NULL THEN 'text' ELSE 'number' END AS input_kind", f"({RANGE})"))
 def parse_range(spark, sf_dir):
-    d = specs(spark, sf_dir, value=F.col("value"), tolerance=F.col("tolerance"), r=ranges.parse_range(F.col("value"), F.col("tolerance")))
+    d = ranges.with_range(specs(spark, sf_dir, value=F.col("value"), tolerance=F.col("tolerance")), F.col("value"), F.col("tolerance"), "r")
     kind = F.when(F.col("r").isNotNull(), "number").otherwise("text")
     return d.select(*KEY, "value", "tolerance", F.col("r.min").alias("range_min"), F.col("r.max").alias("range_max"), kind.alias("input_kind"))
 

@@ -60,7 +60,7 @@ def test_worthy_and_symbols(spark):
 def test_ranges(spark):
     rows = [("58.21±0.05", "+0.05, -0.05"), ("24°31'16\"", ""), ("5 ~ 7", ""), ("n 3 MAX", None), ("4 min", ""), ("50,22±0.05", "±0.1"), (None, None), ("x", "±1")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v string, t string")
-    got = [r.r and tuple(r.r) for r in df.select("i", ranges.parse_range(F.col("v"), F.col("t")).alias("r")).orderBy("i").collect()]
+    got = [r.r and tuple(r.r) for r in ranges.with_range(df, F.col("v"), F.col("t"), "r").orderBy("i").collect()]
     assert got == [(58.16, 58.26), None, (5.0, 7.0), (0.0, 3.0), (4.0, None), (49.9, 50.1), None, None]
     assert [r.t for r in spark.createDataFrame([(58.0,), (58.16,)], "x double").select(ranges.json_number(F.col("x")).alias("t")).collect()] == ["58", "58.16"]
 
