@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..functions import geometry as G
 from ..functions import text as X
 
@@ -114,15 +115,19 @@ def overlapping_clusters(cluster_boxes: DataFrame, least: float = 0.1) -> DataFr
     return components(n, p).select("page_id", F.col("box_id").alias("cluster_id"), F.col("cluster_id").alias("merged_id"))
 
 
-def absorb_fragments(cluster_boxes: DataFrame, anchor_area: float = 650.0, gap: float = 20.0, least: float = 0.35) -> DataFrame:
-    """(page_id, cluster_id, anchor_id): fragments join the nearest anchor on their axis; an anchor
-    grows with each, so the order of cluster_id counts."""
+def first_axes(clustered: DataFrame) -> DataFrame:
+    """(page_id, cluster_id, axis): the axis of each cluster's first box."""
+    return clustered.groupBy("page_id", "cluster_id").agg(F.min_by(BOX(), "box_id").alias("b")).select("page_id", "cluster_id", G.axis(F.col("b")).alias("axis"))
+
+
+def absorb_fragments(cluster_boxes: DataFrame, axes: DataFrame, anchor_area: float = 650.0, gap: float = 20.0, least: float = 0.35) -> DataFrame:
+    """(page_id, cluster_id, anchor_id): fragments join the nearest anchor on their axis, which is that
+    of a cluster's first box (axes); an anchor grows with each, so the order of cluster_id counts."""
 
     def page(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("cluster_id")
-        kind = lambda r: "vertical" if r[3] >= r[2] * 1.35 else "horizontal" if r[2] >= r[3] * 1.35 else "square"
         at = {i: (x, y, w, h) for i, x, y, w, h in zip(d.cluster_id, d.x, d.y, d.w, d.h, strict=True)}
-        first = {i: kind(r) for i, r in at.items()}
+        first = dict(zip(d.cluster_id, d["axis"], strict=True))
         anchors = [i for i, r in at.items() if r[2] * r[3] >= anchor_area]
         owner = {i: i for i in at}
         for i, r in at.items():
@@ -146,7 +151,7 @@ def absorb_fragments(cluster_boxes: DataFrame, anchor_area: float = 650.0, gap:
         return pd.DataFrame({"page_id": d.page_id, "cluster_id": d.cluster_id, "anchor_id": [owner[i] for i in d.cluster_id]})
 
     k = lambda c: cluster_boxes.schema[c].dataType.simpleString()
-    d = cluster_boxes.select("page_id", "cluster_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    d = cluster_boxes.join(axes, ["page_id", "cluster_id"]).select("page_id", "cluster_id", "axis", *[F.col(c).cast("double").alias(c) for c in "xywh"])
     return d.groupBy("page_id").applyInPandas(page, f"page_id {k('page_id')}, cluster_id {k('cluster_id')}, anchor_id {k('cluster_id')}")
 
 
@@ -193,22 +198,52 @@ def right_limits(boxes: DataFrame) -> DataFrame:
 
 def oversized(cluster_boxes: DataFrame, width: float, height: float) -> DataFrame:
     """Cluster boxes with ``oversized``, against the page's upper middle height."""
-    w = Window.partitionBy("page_id")
-    hs = F.sort_array(F.collect_list("h").over(w))
-    median = F.element_at(hs, F.floor(F.size(hs) / 2).cast("int") + 1)
-    return cluster_boxes.withColumn("oversized", (F.col("h") > F.greatest(2.8 * median, F.lit(0.28 * height))) | (F.col("w") > 0.38 * width) | (F.col("w") * F.col("h") > 0.07 * width * height))
+    hs = F.col("hs")
+    middle = cluster_boxes.groupBy("page_id").agg(F.sort_array(F.collect_list("h")).alias("hs")).select("page_id", F.element_at(hs, F.floor(F.size(hs) / 2).cast("int") + 1).alias("_middle"))
+    d = cluster_boxes.join(middle, "page_id")
+    large = (F.col("h") > F.greatest(2.8 * F.col("_middle"), F.lit(0.28 * height))) | (F.col("w") > 0.38 * width) | (F.col("w") * F.col("h") > 0.07 * width * height)
+    return d.withColumn("oversized", large).drop("_middle")
 
 
-def segment(boxes: DataFrame, ratio: float = 0.72, width: float = 0.0, height: float = 0.0) -> DataFrame:
+def segment(boxes: DataFrame, ratio: float = 0.72, width: float = 0.0, height: float = 0.0, looks: DataFrame | None = None) -> DataFrame:
     """The page's dimensions as ordered boxes: bridges go, boxes cluster, fragments join their
-    anchors, clusters of two axes split, overlapping ones merge."""
+    anchors, clusters of two axes split, second looks (detections, see ``expand``) replace oversized
+    ones, and overlapping ones merge."""
     d = clusters(drop_bridges(boxes), ratio, width, height)
-    d = d.join(absorb_fragments(bounds(d)), ["page_id", "cluster_id"]).drop("cluster_id").withColumnRenamed("anchor_id", "cluster_id")
+    d = d.join(absorb_fragments(bounds(d), first_axes(d)), ["page_id", "cluster_id"]).drop("cluster_id").withColumnRenamed("anchor_id", "cluster_id")
     d = split_mixed(d).withColumn("cluster_id", F.col("cluster_id") * 3 + F.col("part")).drop("part")
+    if looks is not None:
+        d = expand(d, looks, width, height, ratio)
     d = d.join(overlapping_clusters(bounds(d)), ["page_id", "cluster_id"]).drop("cluster_id").withColumnRenamed("merged_id", "cluster_id")
     return order(bounds(d))
 
 
+def regions(ordered: DataFrame, readings: DataFrame, rereads: DataFrame, width: float, height: float) -> DataFrame:
+    """Regions of ordered cluster boxes that were read: readings(page_id, cluster_id, text, conf, type).
+    Crops under a pixel and texts that are no dimension go, cut-off angles are completed from rereads
+    (page_id, box_id: the cluster, text, conf, box), and of overlapping regions the richest stays."""
+    c = G.crop_rect(BOX(), F.lit(width), F.lit(height), 6)
+    d = ordered.where((c.w >= 1) & (c.h >= 1)).join(readings, ["page_id", "cluster_id"])
+    d = d.withColumn("text", X.strip(F.coalesce("text", F.lit("")))).where((F.col("text") != "") & C.is_segment_worthy(F.col("text")))
+    d = d.select("page_id", F.col("cluster_id").alias("box_id"), *[F.round(F.col(k), 1).alias(k) for k in "xywh"], "text", "conf", "type", "place")
+    return dedupe_regions(complete_angles(d, rereads, width))
+
+
+def proposals(upright: DataFrame, turned: DataFrame, width: float, height: float, least_fill: float = 0.025) -> DataFrame:
+    """Boxes of both passes over a picture: upright as they are, turned ones (found in the picture turned
+    clockwise) turned back; cut to the picture, without specks and boxes with next to no ink, the
+    fullest of overlapping ones.  Both: (page_id, box_id, x, y, w, h, ink)."""
+    back = turned.withColumn("b", G.unrotate_pass(BOX(), F.lit(float(height)))).withColumns({k: F.col(f"b.{k}") for k in "xywh"}).drop("b")
+    top = upright.groupBy("page_id").agg(F.max("box_id").alias("_top"))
+    back = back.join(top, "page_id", "left").withColumn("box_id", F.col("box_id") + F.coalesce("_top", F.lit(0))).select(upright.columns)
+    d = upright.unionByName(back)
+    x0, y0 = F.greatest(F.col("x"), F.lit(0.0)), F.greatest(F.col("y"), F.lit(0.0))
+    x1, y1 = F.least(F.col("x") + F.col("w"), F.lit(float(width))), F.least(F.col("y") + F.col("h"), F.lit(float(height)))
+    d = d.withColumns({"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0}).where("w >= 1 and h >= 1")
+    d = d.withColumn("fill", F.col("ink") / F.greatest(F.col("w") * F.col("h"), F.lit(1.0))).where(F.col("fill") >= least_fill)
+    return dedupe_boxes(d)
+
+
 def expand(clustered: DataFrame, detections: DataFrame, width: float, height: float, ratio: float = 0.72) -> DataFrame:
     """Boxes with cluster_id, after a second look into oversized clusters: detections(page_id, cluster_id,
     box_id, x, y, w, h in the cluster's crop) replace a cluster if they form more than one.  New

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranges
 from ..functions import text as X
 
 FIXED = ["S.no", "Label", "Value", "Tolerance"]
@@ -23,45 +24,108 @@ def with_parent(annotations: DataFrame) -> DataFrame:
     return dims.join(p, F.col("label_id") == F.col("parent_id"), "left")
 
 
-def inspection_sheet(annotations: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """The sheet's columns as strings, and number to order by."""
+def inspection_sheet(annotations: DataFrame, extra: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """The sheet's columns as strings, number to order by, and the columns to ``keep``."""
     blank = lambda c: F.coalesce(c, F.lit(""))
     extras = [blank(F.element_at("extras", k)).alias(k) for k in extra]
     return with_parent(annotations).select(
-        "number", F.col("number").cast("string").alias("S.no"), blank(F.coalesce("parent_value", "label")).alias("Label"), blank(F.col("value")).alias("Value"),
+        *keep, "number", F.col("number").cast("string").alias("S.no"), blank(F.coalesce("parent_value", "label")).alias("Label"), blank(F.col("value")).alias("Value"),
         blank(F.col("range")).alias("Tolerance"), *extras, blank(F.coalesce(_full("method"), _full("parent_method"))).alias("Method"), blank(F.coalesce(_full("tool"), _full("parent_tool"))).alias("Tool"),
     )
 
 
 def inspection_json(sheet: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """One row: json, {data, extra_columns}."""
-    cols = [c for c in sheet.columns if c != "number"]
-    row = F.struct("number", F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("j"))
+    """sheet with project_id: a project's json, {data, extra_columns}.  Of equal headers the last one's
+    value counts, in the first one's place; headers that are whole numbers come first, as in any
+    JavaScript object."""
+    cols = _cells(sheet.columns)
+    whole = sorted((c for c in cols if c.isdigit() and (c == "0" or c[0] != "0") and int(c) < 2**32 - 1), key=int)
+    row = F.struct("number", F.to_json(F.struct(*[F.col(f"`{c}`") for c in whole + [c for c in cols if c not in whole]])).alias("j"))
     rows = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r.j), ",")
-    return sheet.agg(F.concat(F.lit('{"data":['), rows, F.lit('],"extra_columns":'), F.to_json(F.array(*map(F.lit, extra)).cast("array<string>")), F.lit("}")).alias("json"))
+    tail = F.to_json(F.array(*map(F.lit, extra)).cast("array<string>"))
+    return sheet.groupBy("project_id").agg(F.concat(F.lit('{"data":['), rows, F.lit('],"extra_columns":'), tail, F.lit("}")).alias("json"))
+
+
+def _cells(columns: list[str]) -> list[str]:
+    return [c for c in columns if c not in ("number", "project_id")]
 
 
 def csv_lines(sheet: DataFrame) -> DataFrame:
-    """number and line: every cell quoted."""
+    """place (0 for the header, then 1), number and line: the lines of the sheet's CSV, every cell quoted."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"'))
+    names = _cells(sheet.columns)
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in names)
+    kind = sheet.schema["number"].dataType
+    header = sheet.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(None).cast(kind).alias("number"), F.lit(head).alias("line"))
+    return header.unionByName(sheet.select(F.lit(1).alias("place"), "number", F.concat_ws(",", *[cell(c) for c in names]).alias("line")))
+
+
+def csv_files(sheet: DataFrame) -> DataFrame:
+    """sheet with project_id: one file's text a project, header first, rows by number and text."""
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"'))
-    return sheet.select("number", F.concat_ws(",", *[cell(c) for c in sheet.columns if c != "number"]).alias("line"))
+    names = _cells(sheet.columns)
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in names)
+    rows = sheet.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("number", F.concat_ws(",", *[cell(c) for c in names]).alias("line")))).alias("l"))
+    return rows.select("project_id", F.concat_ws("\n", F.lit(head), F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("csv"))
 
 
 def xml_lines(annotations: DataFrame) -> DataFrame:
-    tag = lambda k: F.concat(F.lit(f"<{k}>"), X.escape_xml(F.coalesce(F.col(k), F.lit(""))), F.lit(f"</{k}>"))
-    head = F.concat(F.lit('<annotation id="'), F.col("id"), F.lit('" type="'), F.coalesce("type", F.lit("")), F.lit('">'))
-    return annotations.select("number", "id", F.concat(head, tag("label"), tag("value"), F.lit("</annotation>")).alias("line"))
+    """number, id and line: an annotation's element, as it stands in the file.  The label is text and
+    may not be null; range, method and tool may."""
+    text = lambda c: X.escape_xml(F.coalesce(F.col(c), F.lit("")))
+    number = lambda c: ranges.js_number(F.col(c))
+    attributes = lambda pairs: F.concat(*[p for k, v in pairs for p in (F.lit(f' {k}="'), v, F.lit('"'))])
+    head = attributes([("id", F.col("id")), ("number", F.col("number").cast("string")), ("page", F.col("page").cast("string")), ("type", F.coalesce("type", F.lit(""))), ("confidence", number("confidence"))])
+    box = attributes([("x", number("x")), ("y", number("y")), ("width", number("w")), ("height", number("h")), ("rotation", number("rotation"))])
+    tags = [p for k in ("value", "label", "range", "method", "tool") for p in (F.lit(f"\n    <{k}>"), text(k), F.lit(f"</{k}>"))]
+    line = F.concat(F.lit("  <annotation"), head, F.lit(">"), *tags, F.lit("\n    <bbox"), box, F.lit("/>\n  </annotation>"))
+    return annotations.select("number", "id", line.alias("line"))
+
+
+#: What stands around the elements of the XML file.
+XML_HEAD, XML_TAIL = '<?xml version="1.0" encoding="UTF-8"?>\n<annotations>\n', "\n</annotations>"
+
+
+def xml_files(annotations: DataFrame) -> DataFrame:
+    """One file's text a project, annotations by number and id."""
+    lines = annotations.select("project_id", "id").join(xml_lines(annotations), "id")
+    d = lines.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("number", "id", "line"))).alias("l"))
+    return d.select("project_id", F.concat(F.lit(XML_HEAD), F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit(XML_TAIL)).alias("xml"))
+
+
+def _item() -> Column:
+    blank = [F.coalesce(c, F.lit("")).alias(k) for c, k in (("method", "method"), ("tool", "tool"), ("range", "range"), ("label_id", "labelId"))]
+    box = F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
+    return F.struct("number", "label", "value", "type", F.coalesce("kind", F.lit("dimension")).alias("kind"), *blank, "page", "confidence", box.alias("bbox"))
 
 
 def verification_payload(annotations: DataFrame) -> DataFrame:
-    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("label", "value", "type", "method", "tool", "range", "label_id")]
-    return annotations.select("number", F.coalesce("kind", F.lit("dimension")).alias("kind"), *blank)
+    """The payload's items: label, value and type as they are, blanks for what else is missing, and
+    the box as a struct."""
+    return annotations.select(_item().alias("i")).select("i.*")
+
+
+def verification_documents(annotations: DataFrame, projects: DataFrame, endpoint: str = "", extra: list[str] | None = None) -> DataFrame:
+    """One JSON text a project: projects(project_id, project_name).  With ``extra`` the inspection sheet
+    goes with it: its headers, rows by number, and extra columns."""
+    d = annotations.withColumn("_item", _item())
+    d = d.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "id", "_item"))), lambda x: x._item).alias("items"))
+    fields = [F.col("project_name").alias("projectName"), F.lit(endpoint).alias("endpoint")]
+    out = projects.join(d, "project_id", "left")
+    if extra is not None:
+        rows = inspection_sheet(annotations, extra, keep=["project_id"])
+        names = _cells(rows.columns)
+        rows = rows.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", F.array(*[F.col(f"`{c}`") for c in names]).alias("r")))), lambda x: x.r).alias("rows"))
+        out = out.join(rows, "project_id", "left")
+        strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+        fields.append(F.struct(strings(names).alias("headers"), F.coalesce("rows", F.array().cast("array<array<string>>")).alias("rows"), strings(extra).alias("extraColumns")).alias("sheet"))
+    return out.select("project_id", F.to_json(F.struct(*fields, F.coalesce("items", F.array()).alias("items"))).alias("json"))
 
 
 def training_labels(rows: DataFrame) -> DataFrame:
-    """rows(cells map): defaults where a key is missing; a null stays null."""
-    get = lambda k, default: F.when(F.map_contains_key("cells", k), F.element_at("cells", k)).otherwise(F.lit(default)).alias(k)
-    return rows.select("id", get("text", ""), get("label", ""), get("type", "Unknown"))
+    """rows(id, cells map, bbox): text is the key ``value``; defaults where a key is missing; a null stays null."""
+    get = lambda k, default: F.when(F.map_contains_key("cells", k), F.element_at("cells", k)).otherwise(F.lit(default))
+    return rows.select("id", get("value", "").alias("text"), get("label", "").alias("label"), get("type", "Unknown").alias("type"), "bbox")
 
 
 def unmapped_values(annotations: DataFrame) -> DataFrame:
@@ -84,7 +148,9 @@ def attachable_labels(annotations: DataFrame) -> DataFrame:
 
 
 def counts(annotations: DataFrame) -> DataFrame:
-    return annotations.agg(F.count_if(F.col("kind") == "label").alias("labels"), F.count_if((F.coalesce("kind", F.lit("dimension")) == "dimension") & F.col("label_id").isNull()).alias("without_label"))
+    """Labels, and dimensions without a label or whose label isn't there."""
+    labels = annotations.where("kind = 'label'").select(F.col("id").alias("_l")).distinct()
+    return annotations.join(labels, F.col("label_id") == F.col("_l"), "left").agg(F.count_if(F.col("kind") == "label").alias("labels"), F.count_if((F.coalesce("kind", F.lit("dimension")) == "dimension") & F.col("_l").isNull()).alias("without_label"))
 
 
 def part_columns(rows: DataFrame) -> DataFrame:
@@ -112,7 +178,5 @@ def sheet_columns(annotations: DataFrame, named: list[str] = ()) -> DataFrame:
 
 
 def label_options(annotations: DataFrame) -> DataFrame:
-    """(id, number, text) of the labels that have text."""
-    text = F.coalesce(_full("value"), F.col("label"), F.lit(""))
-    d = annotations.where("kind = 'label'").select("id", "number", text.alias("text"))
-    return d.where(X.strip(F.col("text")) != "")
+    """(id, number, text) of the labels whose value has text, which is trimmed."""
+    return annotations.where("kind = 'label'").select("id", "number", X.js_strip(F.col("value")).alias("text")).where("text <> ''")

@@ -13,6 +13,26 @@ def KIND():
     return F.coalesce("kind", F.lit("dimension"))
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """``df`` with the row number ``name`` inside its group, by ``order`` (its first column a number).  Rows
+    are dealt by ranges of that number, counted, and numbered inside a range behind the counts of the
+    ranges before: a group of many rows is many tasks' work."""
+    found = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)]).alias("b")).first()
+    bounds = sorted(set(found.b or []))
+    part = F.lit(0)
+    for b in bounds:
+        part = part + F.when(F.col(order[0]) > b, 1).otherwise(0)
+    d = df.withColumn("_part", part)
+    counts = d.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a group
+    counts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    return d.withColumn(name, own).join(counts, same).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).select(*df.columns, name)
+
+
 def load(annotations: DataFrame, project: str) -> DataFrame:
     return annotations.where(F.col("project_id") == project).drop("project_id")
 
@@ -50,8 +70,8 @@ def next_number(annotations: DataFrame) -> DataFrame:
 def add(annotations: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` (with seq) appended, numbered on from each kind's largest number."""
     top = annotations.groupBy(KIND().alias("kind2")).agg(F.max("number").alias("top"))
-    n = new.withColumn("kind", KIND()).join(top, F.col("kind") == F.col("kind2"), "left")
-    number = F.row_number().over(Window.partitionBy("kind").orderBy("seq")) + F.coalesce("top", F.lit(0))
+    n = ranked(new.withColumn("kind", KIND()), ["kind"], ["seq"], "_rank").join(top, F.col("kind") == F.col("kind2"), "left")
+    number = F.col("_rank") + F.coalesce("top", F.lit(0))
     return annotations.unionByName(n.withColumn("number", number.cast(annotations.schema["number"].dataType)).select(annotations.columns))
 
 
@@ -86,8 +106,7 @@ def on_page(annotations: DataFrame, page: int) -> DataFrame:
 
 def balloons(annotations: DataFrame) -> DataFrame:
     """Annotations with ``place`` in balloon order: by number, then as they came (seq), in a project."""
-    w = Window.partitionBy("project_id").orderBy("number", "seq")
-    return annotations.withColumn("place", F.row_number().over(w))
+    return ranked(annotations, ["project_id"], ["number", "seq"], "place")
 
 
 def from_drafts(drafts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,7 +123,43 @@ def from_drafts(drafts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def edit_labels(annotations: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(id, text): a label's new text goes to its label and its value together."""
-    e = edits.select(F.col("id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    d = annotations.join(e, (F.col("id") == F.col("_id")) & (F.col("kind") == "label"), "left")
-    return d.withColumns({c: F.coalesce("_text", c) for c in ("label", "value")}).drop("_id", "_text")
+    """edits(id, text, value, range, method, tool), of labels: the label takes the text for its value; the
+    first dimension mapped to it (if any) takes the edit's value with its type, range, method and
+    tool, blanks as nulls, and the text for its label."""
+    e = edits.select(*[F.col(c).alias(f"_{c}") for c in ("id", "text", "value", "range", "method", "tool")]).dropDuplicates(["_id"])
+    blank = lambda c: F.nullif(c, F.lit(""))
+    trimmed = lambda c: X.js_strip(F.col(c))
+    first = annotations.where((KIND() == "dimension") & F.col("label_id").isNotNull()).groupBy("label_id").agg(F.min_by("id", F.struct("number", "id")).alias("_to"))
+    labels = e.join(annotations.where("kind = 'label'").select(F.col("id").alias("_id")).distinct(), "_id")
+    on_value = labels.join(first, F.col("_id") == F.col("label_id")).drop("label_id")
+    d = annotations.join(labels.select(F.col("_id").alias("id"), trimmed("_text").alias("_own")), "id", "left")
+    on_value = on_value.select(
+        F.col("_to").alias("id"), trimmed("_text").alias("_label"), trimmed("_value").alias("_v"), C.classify(F.col("_value")).alias("_type"),
+        blank(trimmed("_range")).alias("_r"), blank(trimmed("_method")).alias("_m"), blank(F.col("_tool")).alias("_t"), F.lit(True).alias("_hit"),
+    )
+    d = d.join(on_value, "id", "left")
+    new = {"value": "_v", "type": "_type", "range": "_r", "method": "_m", "tool": "_t", "label": "_label"}
+    made = {c: F.when(F.col("_hit"), F.col(k)).otherwise(F.coalesce("_own", "value") if c == "value" else F.col(c)) for c, k in new.items()}
+    return d.withColumns(made).select(annotations.columns)
+
+
+def set_fields(annotations: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(id, label_id, field, value), one an id and field, field of label, value, range, method and tool.
+    The dimension takes the edit; a label written beside a mapped dimension goes to the label's value
+    too; a value brings its type."""
+    fields = ("label", "value", "range", "method", "tool")
+    own = edits.groupBy("id").agg(*[F.max(F.when(F.col("field") == k, F.struct(F.col("value").alias("v")))).alias(f"_{k}") for k in fields])
+    up = edits.where("field = 'label' and label_id is not null").groupBy(F.col("label_id").alias("id")).agg(F.max(F.struct(F.col("value").alias("v"))).alias("_up"))
+    d = annotations.join(own, "id", "left").join(up, "id", "left")
+    new = {k: F.when(F.col(f"_{k}").isNotNull(), F.col(f"_{k}.v")).otherwise(F.col(k)) for k in fields}
+    new["value"] = F.when(F.col("_up").isNotNull(), F.col("_up.v")).otherwise(new["value"])
+    new["type"] = F.when(F.col("_value").isNotNull(), C.classify(F.col("_value.v"))).otherwise(F.col("type"))
+    return d.withColumns(new).select(annotations.columns)
+
+
+def set_extras(annotations: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(id, extras map): merged into the extras, the edit's keys over the old ones."""
+    e = edits.select("id", F.col("extras").alias("_e"))
+    none = F.create_map().cast("map<string,string>")
+    old = lambda: F.map_filter(F.coalesce("extras", none), lambda k, _: ~F.map_contains_key(F.coalesce("_e", none), k))
+    return annotations.join(e, "id", "left").withColumn("extras", F.map_concat(old(), F.coalesce("_e", none))).select(annotations.columns)

@@ -72,14 +72,20 @@ def classify(spark, sf_dir):
     return specs(spark, sf_dir, type=C.classify(F.col("value")), label=C.suggest_label(C.classify(F.col("value")), F.col("value")))
 
 
-@query(spec_sql(r"CASE WHEN contains(value, '°') THEN 'angle' WHEN value LIKE 'R%' THEN 'radius' WHEN value LIKE 'Ø%' THEN 'diameter' WHEN contains(value, '±') THEN 'tolerance' WHEN regexp_matches(value, '\d') THEN 'linear' ELSE 'unknown' END AS kind"))
+KIND_TEXT = "CASE l_suppkey % 9 WHEN 0 THEN '' WHEN 1 THEN concat('Ø', value, '±1') WHEN 2 THEN concat('R1±', value) WHEN 3 THEN concat(value, '±0.1') ELSE value END"
+
+
+@query(spec_sql("CASE WHEN contains(t, '°') THEN 'angle' WHEN t LIKE 'R%' THEN 'radius' WHEN t LIKE 'Ø%' THEN 'diameter' WHEN contains(t, '±') THEN 'tolerance' WHEN trim(t) = '' THEN 'unknown' ELSE 'linear' END AS kind", f"(SELECT *, {KIND_TEXT} AS t FROM {duck('specs')})"))
 def compose_kind(spark, sf_dir):
-    return specs(spark, sf_dir, kind=C.compose_kind(F.col("value")))
+    return specs(spark, sf_dir, kind=C.compose_kind(F.expr(KIND_TEXT)))
+
+
+RANGE_TEXT = "CASE l_suppkey % 6 WHEN 0 THEN concat(value, '±.05') WHEN 1 THEN concat(value, ' ± about ', l_tax) WHEN 2 THEN concat('±', '±0.3') WHEN 3 THEN concat(value, '±') ELSE value END"
 
 
-@query(spec_sql(r"CASE WHEN regexp_extract(value, '±\s*(\d+(?:\.\d+)?)', 1) = '' THEN '' ELSE concat('+', regexp_extract(value, '±\s*(\d+(?:\.\d+)?)', 1), ', -', regexp_extract(value, '±\s*(\d+(?:\.\d+)?)', 1)) END AS derived"))
+@query(spec_sql(r"CASE WHEN n = '' THEN '' ELSE concat('+', n, ', -', n) END AS derived", rf"(SELECT *, regexp_extract(substr(t, instr(t, '±') + 1), '\d*\.?\d+') AS n FROM (SELECT *, {RANGE_TEXT} AS t FROM {duck('specs')}) WHERE contains(t, '±') UNION ALL SELECT *, '' FROM (SELECT *, {RANGE_TEXT} AS t FROM {duck('specs')}) WHERE NOT contains(t, '±'))"))
 def derive_range(spark, sf_dir):
-    return specs(spark, sf_dir, derived=X.derive_range(F.col("value")))
+    return specs(spark, sf_dir, derived=X.derive_range(F.expr(RANGE_TEXT)))
 
 
 @query(spec_sql("coalesce(t > 0 AND m > 0 AND t < m * 0.5 AND (t <= 2 OR (contains(ts, '.') AND t < m)), false) AS is_pair", f"(SELECT *, TRY_CAST(ms AS DOUBLE) AS m, TRY_CAST(ts AS DOUBLE) AS t FROM (SELECT *, CAST(l_quantity AS STRING) AS ms, CAST(l_suppkey % 70 / 10.0 AS STRING) AS ts FROM {duck('specs')}))"))
@@ -141,17 +147,31 @@ def parse_dms(spark, sf_dir):
     return specs(spark, sf_dir, angle=X.parse_dms(F.expr(ANGLES)))
 
 
-def _pair(m: str, t: str) -> str:
-    return f"coalesce(CAST({t} AS DOUBLE) > 0 AND CAST({m} AS DOUBLE) > 0 AND CAST({t} AS DOUBLE) < CAST({m} AS DOUBLE) * 0.5, false)"
+#: Every form in which a tolerance, a decimal comma, or inches are misread.
+MISREAD = """CASE l_suppkey % 9 WHEN 0 THEN value WHEN 1 THEN concat(lpad(cast(l_partkey % 900 + 100 AS string), 3, '0'), '.', lpad(cast(l_partkey % 97 AS string), 2, '0'), '″')
+  WHEN 2 THEN concat(cast(l_partkey % 900 + 10 AS string), ',370.0', cast(l_suppkey % 10 AS string)) WHEN 3 THEN concat(cast(l_partkey % 300 AS string), '.370.0', cast(l_suppkey % 10 AS string))
+  WHEN 4 THEN concat(cast(l_partkey % 50 AS string), '.5+', cast(l_suppkey % 4 AS string), '.25') WHEN 5 THEN concat(cast(l_partkey % 30 AS string), '.50,', cast(l_suppkey % 20 AS string))
+  WHEN 6 THEN concat(cast(l_partkey % 90 + 10 AS string), ',37,05') WHEN 7 THEN concat(cast(l_partkey % 90 AS string), '.25.', cast(l_suppkey % 3 AS string), '.125') ELSE concat(' ', cast(l_partkey AS string), ' . 5´ ') END"""
 
 
-@query(spec_sql(
-    rf"""CASE WHEN regexp_matches(s, '^\d{{2,}},\d{{3}}\.\d{{2}}$') AND {_pair(r"regexp_replace(s, '^(\d{2,}),(\d{2})(\d)\.(\d{2})$', '\1.\2')", r"regexp_replace(s, '^(\d{2,}),(\d{2})(\d)\.(\d{2})$', '\3.\4')")}
-      THEN regexp_replace(s, '^(\d{{2,}}),(\d{{2}})(\d)\.(\d{{2}})$', '\1.\2±\3.\4') WHEN regexp_matches(value, '°') THEN value ELSE s END AS canonical""",
-    rf"(SELECT *, CASE WHEN l_linenumber = 7 THEN value ELSE regexp_replace(value, '[ ''\x22]', '', 'g') END AS s FROM {duck('specs')})",
-))
+def _form(pattern: str, main: str, tol: str) -> str:
+    """The pair of a misread form where it fits, else null."""
+    m, t = (f"regexp_replace(s, '{pattern}', '{x}')" for x in (main, tol))
+    a, b = f"TRY_CAST({m} AS DOUBLE)", f"TRY_CAST({t} AS DOUBLE)"
+    return f"CASE WHEN regexp_matches(s, '{pattern}') AND {b} > 0 AND {a} > 0 AND {b} < {a} * 0.5 AND ({b} <= 2 OR contains({t}, '.')) THEN concat({m}, '±', {t}) END"
+
+
+_plain = r"CASE WHEN t LIKE 'FINISH%' THEN t ELSE regexp_replace(t, '[ ''\x22]', '', 'g') END"
+_dotted = rf"SELECT *, regexp_replace({_plain}, '^(\d{{2,}}),(\d{{2}})[,.](\d{{2}})$', '\1.\2.\3') AS s FROM (SELECT *, translate(trim({MISREAD}), '′’´″”ʺ', concat(repeat(chr(39), 3), repeat(chr(34), 3))) AS t FROM {duck('specs')})"
+_forms = [
+    (r"^(\d{2,}),(\d{2})(\d)\.(\d{2})$", r"\1.\2", r"\3.\4"), (r"^(\d+\.\d{1,4})(\d)\.(\d{1,4})$", r"\1", r"\2.\3"), (r"^(\d+\.\d+)\+(\d+\.\d+)$", r"\1", r"\2"),
+    (r"^(\d+\.\d+)[,.](\d{1,2})\.(\d{1,4})$", r"\1", r"\2.\3"), (r"^(\d+\.\d+)[,.](\d)$", r"\1", r"0.0\2"), (r"^(\d+\.\d+)[,.](\d\d)$", r"\1", r"0.\2"),
+]
+
+
+@query(spec_sql(f"CASE WHEN contains(t, '°') THEN t ELSE coalesce({', '.join(_form(*f) for f in _forms)}, s) END AS canonical", f"({_dotted})"))
 def cad_normalize(spark, sf_dir):
-    return specs(spark, sf_dir, canonical=X.normalize_cad_number(F.col("value")))
+    return specs(spark, sf_dir, canonical=X.normalize_cad_number(F.expr(MISREAD)))
 
 
 #: A nominal with zeros and ones read as letters; SQL has no left-to-right fold, so a test checks this one.
@@ -167,8 +187,8 @@ def safe_id(spark, sf_dir):
     return specs(spark, sf_dir, safe=ids.safe_id(F.col("value")))
 
 
-FILES = "concat('C:', chr(92), 'in', chr(92), p_name, ' ts2 ', cast(p_size AS string), '.v1.json')"
-TEMPLATE_ID = rf"upper(regexp_replace(regexp_replace(concat(p_name, ' ts2 ', p_size, '.v1'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
+FILES = "CASE WHEN p_size = 50 THEN '/in/.json' WHEN p_size = 49 THEN '__.' ELSE concat('C:', chr(92), 'in', chr(92), p_name, ' ts2 ', cast(p_size AS string), '.v1.json') END"
+TEMPLATE_ID = rf"CASE WHEN p_size < 49 THEN upper(regexp_replace(regexp_replace(concat(p_name, ' ts2 ', p_size, '.v1'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) END"
 
 
 @query(f"SELECT p_partkey, {TEMPLATE_ID} AS template_id FROM part")
@@ -224,22 +244,68 @@ def inspection_sheet(spark, sf_dir):
     return sheet.inspection_sheet(annotations(spark, sf_dir), ["part1"])
 
 
-@query("SELECT number, " + " || ',' || ".join(f"""chr(34) || replace("{c}", chr(34), chr(34) || chr(34)) || chr(34)""" for c in ("S.no", "Label", "Value", "Tolerance", "part1", "Method", "Tool")) + f" AS line FROM ({SHEET})")
+_quoted = " || ',' || ".join(f"""chr(34) || replace("{c}", chr(34), chr(34) || chr(34)) || chr(34)""" for c in ("S.no", "Label", "Value", "Tolerance", "part1", "Method", "Tool"))
+CSV_HEAD = '"S.no","Label","Value","Tolerance","part1","Method","Tool"'
+
+
+@query(f"SELECT 0 AS place, NULL::BIGINT AS number, '{CSV_HEAD}' AS line UNION ALL SELECT 1, number, {_quoted} FROM ({SHEET})")
 def csv_rows(spark, sf_dir):
-    return sheet.csv_lines(inspection_sheet(spark, sf_dir))
+    return sheet.csv_lines(inspection_sheet(spark, sf_dir)).select("place", F.col("number").cast("long"), "line")
+
+
+@query(f"""SELECT project_id, concat('{CSV_HEAD}', chr(10), string_agg(line, chr(10) ORDER BY number, line)) AS csv
+  FROM (SELECT number, {_quoted} AS line, project_id FROM ({SHEET.replace("SELECT number,", "SELECT project_id, number,")})) GROUP BY project_id""")
+def csv_files(spark, sf_dir):
+    return sheet.csv_files(sheet.inspection_sheet(annotations(spark, sf_dir), ["part1"], keep=["project_id"]))
 
 
 _xml = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_js = lambda c: f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS STRING) ELSE CAST({c} AS STRING) END"
+_attr = lambda k, v: f"' {k}=', chr(34), {v}, chr(34)"
+XML_LINE = (
+    "concat('  <annotation', " + ", ".join([_attr("id", "id"), _attr("number", "CAST(number AS STRING)"), _attr("page", "CAST(page AS STRING)"), _attr("type", "coalesce(type, '')"), _attr("confidence", _js("confidence"))]) + ", '>', "
+    + ", ".join(f"chr(10), '    <{k}>', {_xml(k)}, '</{k}>'" for k in ("value", "label", "range", "method", "tool")) + ", chr(10), '    <bbox', "
+    + ", ".join([_attr("x", _js("x")), _attr("y", _js("y")), _attr("width", _js("w")), _attr("height", _js("h")), _attr("rotation", "CAST(rotation AS STRING)")]) + ", '/>', chr(10), '  </annotation>')"
+)
 
 
-@query(f"""SELECT number, id, concat('<annotation id="', id, '" type="', coalesce(type, ''), '"><label>', {_xml('label')}, '</label><value>', {_xml('value')}, '</value></annotation>') AS line FROM {A}""")
+@query(f"SELECT number, id, {XML_LINE} AS line FROM {A}")
 def xml_rows(spark, sf_dir):
     return sheet.xml_lines(annotations(spark, sf_dir))
 
 
-@query(f"SELECT number, coalesce(kind, 'dimension') AS kind, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("label", "value", "type", "method", "tool", "range", "label_id")) + f" FROM {A}")
+@query(f"""SELECT project_id, concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<annotations>', chr(10), string_agg(line, chr(10) ORDER BY number, id), chr(10), '</annotations>') AS xml
+  FROM (SELECT project_id, number, id, {XML_LINE} AS line FROM {A}) GROUP BY project_id""")
+def xml_files(spark, sf_dir):
+    return sheet.xml_files(annotations(spark, sf_dir))
+
+
+ITEM = "number, label, value, type, coalesce(kind, 'dimension') AS kind, coalesce(method, '') AS method, coalesce(tool, '') AS tool, coalesce(range, '') AS range, coalesce(label_id, '') AS \"labelId\", page, confidence"
+
+
+@query(f"SELECT {ITEM}, x, y, w AS width, h AS height FROM {A}")
 def verification_payload(spark, sf_dir):
-    return sheet.verification_payload(annotations(spark, sf_dir))
+    return sheet.verification_payload(annotations(spark, sf_dir)).select("*", "bbox.*").drop("bbox")
+
+
+def projects(spark, sf_dir):
+    return annotations(spark, sf_dir).select("project_id").distinct().withColumn("project_name", F.concat(F.lit("Drawing "), "project_id"))
+
+
+#: The documents read back: what each project's JSON holds.
+@query(f"""SELECT project_id, 'Drawing ' || project_id AS name, 'http://check' AS endpoint, count(*) AS items, sum(number) AS numbers, round(sum(x + y + w + h), 3) AS boxes, count(label_id) AS mapped,
+  count(*) FILTER (coalesce(kind, 'dimension') = 'dimension') AS rows, 'S.no,Label,Value,Tolerance,part1,Method,Tool' AS headers FROM {A} GROUP BY project_id""")
+def verification_documents(spark, sf_dir):
+    d = sheet.verification_documents(annotations(spark, sf_dir), projects(spark, sf_dir), "http://check", ["part1"])
+    item = "struct<number:bigint,labelId:string,bbox:struct<x:double,y:double,width:double,height:double>>"
+    j = F.from_json("json", f"projectName string, endpoint string, sheet struct<headers:array<string>,rows:array<array<string>>>, items array<{item}>")
+    add = lambda f: F.aggregate("j.items", F.lit(0.0), lambda acc, x: acc + f(x))
+    d = d.withColumn("j", j)
+    return d.select(
+        "project_id", F.col("j.projectName").alias("name"), F.col("j.endpoint").alias("endpoint"), F.size("j.items").cast("long").alias("items"), add(lambda x: x.number).cast("long").alias("numbers"),
+        F.round(add(lambda x: x.bbox.x + x.bbox.y + x.bbox.width + x.bbox.height), 3).alias("boxes"), F.size(F.filter("j.items", lambda x: x.labelId != "")).cast("long").alias("mapped"),
+        F.size("j.sheet.rows").cast("long").alias("rows"), F.array_join("j.sheet.headers", ",").alias("headers"),
+    )
 
 
 @query(f"SELECT id, number, label_id FROM {A} AS a WHERE coalesce(kind, 'dimension') = 'dimension' AND NOT EXISTS (SELECT 1 FROM {A} AS l WHERE l.kind = 'label' AND l.id = a.label_id)")
@@ -253,12 +319,12 @@ def label_first_value(spark, sf_dir):
     return sheet.label_values(annotations(spark, sf_dir))
 
 
-@query(f"SELECT id FROM {A} AS l WHERE kind = 'label' AND trim(value) <> '' AND NOT EXISTS (SELECT 1 FROM {A} AS d WHERE coalesce(d.kind, 'dimension') = 'dimension' AND d.label_id = l.id)")
+@query(f"SELECT id FROM {A} AS l WHERE kind = 'label' AND trim(value) <> '' AND NOT EXISTS (SELECT 1 FROM {A} AS d WHERE coalesce(d.kind, 'dimension') = 'dimension' AND d.label_id = l.id AND d.page = 1)")
 def attachable_labels(spark, sf_dir):
-    return sheet.attachable_labels(annotations(spark, sf_dir)).select("id")
+    return sheet.attachable_labels(annotations(spark, sf_dir).where("kind = 'label' or page = 1")).select("id")
 
 
-@query(f"SELECT count(*) FILTER (kind = 'label') AS labels, count(*) FILTER (coalesce(kind, 'dimension') = 'dimension' AND label_id IS NULL) AS without_label FROM {A}")
+@query(f"SELECT count(*) FILTER (kind = 'label') AS labels, count(*) FILTER (coalesce(kind, 'dimension') = 'dimension' AND (label_id IS NULL OR label_id NOT IN (SELECT id FROM {A} WHERE kind = 'label'))) AS without_label FROM {A}")
 def annotation_counts(spark, sf_dir):
     return sheet.counts(annotations(spark, sf_dir))
 
@@ -278,10 +344,10 @@ def number_by_kind(spark, sf_dir):
     return store.add(old, new)
 
 
-@query(f"SELECT project_id, count(*) AS n FROM (SELECT project_id FROM {A} WHERE project_id <> 'P3' UNION ALL SELECT 'P3' FROM {A} WHERE project_id = 'P1') GROUP BY 1")
+@query(f"SELECT project_id, id, number, value FROM {A} WHERE project_id <> 'P3' UNION ALL SELECT 'P3', id, number, value FROM {A} WHERE project_id = 'P1'")
 def store_replace(spark, sf_dir):
     a = annotations(spark, sf_dir)
-    return store.replace_project(a, a.where("project_id = 'P1'"), "P3").groupBy("project_id").agg(F.count("*").alias("n"))
+    return store.replace_project(a, a.where("project_id = 'P1'"), "P3").select("project_id", "id", "number", "value")
 
 
 @query("SELECT cast(o_orderkey AS string) AS id, o_orderdate AS updated_at FROM orders ORDER BY updated_at DESC, id LIMIT 1")
@@ -352,12 +418,28 @@ def nms_regions(spark, sf_dir):
 
 @query()
 def absorb_fragments(spark, sf_dir):
-    return B.absorb_fragments(boxes(spark, sf_dir).withColumnRenamed("box_id", "cluster_id"))
+    d = B.clusters(B.drop_bridges(boxes(spark, sf_dir)), 0.72, 600.0, 400.0)
+    return B.absorb_fragments(B.bounds(d), B.first_axes(d))
 
 
 @query()
 def segment_pages(spark, sf_dir):
-    return B.segment(boxes(spark, sf_dir))
+    """From boxes to regions: the clusters' readings, second looks and rereads are made of numbers of theirs."""
+    b = boxes(spark, sf_dir)
+    ordered = B.segment(b, 0.72, 600.0, 400.0, _looks(b))
+    text = F.concat((F.col("cluster_id") * 7 % 90).cast("string"), F.when(F.col("cluster_id") % 2 == 0, "°").otherwise(".5"))
+    readings = ordered.select("page_id", "cluster_id", text.alias("text"), F.lit(0.9).alias("conf"), F.when(F.col("cluster_id") % 2 == 0, "angle").otherwise("linear").alias("type"))
+    again = F.concat((F.col("cluster_id") * 7 % 90).cast("string"), F.lit("°20'"), (F.col("page_id") % 60).cast("string"), F.lit('"'))
+    none = F.lit(None).cast("struct<x: double, y: double, w: double, h: double>")
+    rereads = ordered.select("page_id", F.col("cluster_id").alias("box_id"), again.alias("text"), F.lit(0.95).alias("conf"), none.alias("box"))
+    return B.regions(ordered, readings, rereads, 600.0, 400.0)
+
+
+def _looks(b):
+    """Second looks into the clusters: each finds two lines, apart."""
+    halves = B.bounds(B.clusters(B.drop_bridges(b), 0.72, 600.0, 400.0)).withColumn("cluster_id", F.col("cluster_id") * 3)
+    halves = halves.select("page_id", "cluster_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("box_id"), "w", "h")
+    return halves.select("page_id", "cluster_id", "box_id", F.lit(4.0).alias("x"), (4 + (F.col("box_id") - 1) * F.col("h") * 0.75).alias("y"), "w", (F.col("h") / 4).alias("h"))
 
 
 @query(f"""SELECT page_id, box_id, CASE WHEN ok THEN round(least(y, 600), 1) ELSE x END AS x, CASE WHEN ok THEN round(greatest(400 - x - w, 0), 1) ELSE y END AS y,
@@ -370,13 +452,35 @@ def bbox_unrotate(spark, sf_dir):
 CELLS = f"(SELECT *, CAST(l_orderkey AS STRING) AS sno FROM ({RANGE}))"
 
 
-@query(f"""SELECT l_orderkey AS template_id, l_partkey AS pos, 6 + i AS place, CASE WHEN range_max IS NULL THEN 'text' ELSE 'number' END AS kind, concat('row_', sno, '_part', i + 1) AS id, range_min AS min, range_max AS max
-  FROM {CELLS} AS c, (SELECT unnest([0, 1, 2]) AS i)""")
+@query(f"""SELECT l_orderkey AS template_id, l_partkey AS pos, 6 + i AS place, CASE WHEN range_max IS NULL THEN 'text' ELSE 'number' END AS kind, concat('row_', sno, '_part', i + 1) AS id, NULL AS text, range_min AS min, range_max AS max
+  FROM {CELLS} AS c, (SELECT unnest([0, 1, 2]) AS i)
+  UNION ALL SELECT l_orderkey, l_partkey, i, 'label', NULL, [sno, '', value, tolerance, '', ''][i + 1], NULL, NULL FROM {CELLS} AS c, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i)""")
 def template_cells(spark, sf_dir):
+    return template.cells(template_rows(spark, sf_dir), ["part1", "part2", "part3"]).select("template_id", "pos", "place", "kind", "id", "text", "min", "max")
+
+
+def template_rows(spark, sf_dir):
     s = view(spark, sf_dir, "specs")
     cells = F.create_map(F.lit("S.no"), F.col("l_orderkey").cast("string"), F.lit("Value"), F.col("value"), F.lit("Tolerance"), F.col("tolerance"))
-    rows = s.select(F.col("l_orderkey").alias("template_id"), F.col("l_partkey").alias("pos"), cells.alias("cells"))
-    return template.cells(rows, ["part1", "part2", "part3"]).where("kind <> 'label'").select("template_id", "pos", "place", "kind", "id", "min", "max")
+    return s.select(F.col("l_orderkey").alias("template_id"), F.col("l_partkey").alias("pos"), cells.alias("cells"))
+
+
+_j = lambda c: f"CAST(to_json({c}) AS STRING)"
+_both = lambda c: f"""concat('{{"en":', {_j(c)}, ',"hi":', {_j(c)}, '}}')"""
+_sec = lambda node, width: f"""concat('{template.SECTION}Vertical","items":[', {node}, '],"fill":"uniform","style":{{"width":"{width}%"}}}}')"""
+_lab = lambda c, width, align="left", bold="": _sec(f"""concat('{{"type":"Label","label":', {_both(c)}, ',"style":{{"font_size":12,"vertical_alignment":"center","horizontal_alignment":"{align}"{bold}}}}}')""", width)
+_num = lambda c: f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS STRING) ELSE CAST({c} AS STRING) END"
+_inp = lambda k: _sec(f"""concat('{{"id":"row_', sno, '_{k}","type":"', CASE WHEN range_max IS NULL THEN 'text","input_type":"text",' ELSE concat('number","input_type":"text","range":{{"min":', {_num('range_min')}, ',"max":', {_num('range_max')}, '}},') END, '"required":false,"style":{{"font_size":11}}}}')""", "15.666667")
+_hor = lambda nodes: f"""concat('{template.SECTION}Horizontal","items":[', concat_ws(',', {', '.join(nodes)}), '],"fill":"uniform"}}')"""
+_WIDE = [3, 18, 9, 7, 6, 10]
+_HEAD = _hor([_lab(f"'{k}'", w, "center", ',"bold":true') for k, w in zip(["S.No", "Label", "Value", "Tolerance", "Method", "Tool", "part1", "part2", "part3"], [*_WIDE, *["15.666667"] * 3])])
+_LINE = _hor([_lab(c, w, "center" if c == "sno" else "left") for c, w in zip(["sno", "''", "value", "tolerance", "''", "''"], _WIDE)] + [_inp(f"part{i}") for i in (1, 2, 3)])
+
+
+@query(f"""SELECT template_id, concat('{{"template_id":"', template_id, '","template_name":{{"en":"', template_id, '","hi":"', template_id, '"}},"description":"{template.DESCRIPTION}","version":1,"created_by":"x","items":[',
+  {_HEAD}, ',', string_agg(line, ',' ORDER BY l_partkey, line), ']}}') AS json, count(*) AS row_count FROM (SELECT l_orderkey AS template_id, l_partkey, {_LINE} AS line FROM {CELLS} AS c) GROUP BY template_id""")
+def template_documents(spark, sf_dir):
+    return template.documents(template_rows(spark, sf_dir), ["part1", "part2", "part3"], created_by="x")
 
 
 @query("""WITH i AS (SELECT p_partkey AS pos, 'I' || (p_partkey % 500) AS id, 'F' || (p_partkey % 400) AS file FROM part),
@@ -396,13 +500,13 @@ SIGNS = "CASE l_suppkey % 5 WHEN 0 THEN 'O' WHEN 1 THEN '©' WHEN 2 THEN concat(
 
 
 @query(spec_sql(
-    r"""CASE WHEN regexp_matches(t, '^[ØøφΦ⌀]') THEN 1.0 WHEN regexp_matches(t, '^[Rr]\d') THEN 0.0 WHEN regexp_matches(t, '^[O0Q©¢C]$') THEN 0.55 ELSE 0.0 END AS diameter_score,
+    r"""regexp_matches(t, '^[ØøφΦ⌀]') AS diameter, CASE WHEN regexp_matches(t, '^[ØøφΦ⌀]') THEN 1.0 WHEN regexp_matches(t, '^[O0Q©¢C]$') THEN 0.55 ELSE 0.0 END AS diameter_score,
     contains(t, '±') OR contains(t, '+/-') AS plus_minus, regexp_matches(t, '[°˚⁰]') AS degree, regexp_matches(t, '^[Rr]\d') AS radius""",
     f"(SELECT *, trim({SIGNS}) AS t FROM {duck('specs')})",
 ))
 def prefix_symbols(spark, sf_dir):
     s = view(spark, sf_dir, "specs").select(*KEY, X.symbols_of_prefix(F.expr(SIGNS)).alias("s"))
-    return s.select(*KEY, *[F.col(f"s.{c}") for c in ("diameter_score", "plus_minus", "degree", "radius")])
+    return s.select(*KEY, "s.*")
 
 
 PHI = "cast((l_partkey * 7) % 50 AS double) / 100"
@@ -424,9 +528,11 @@ def client_lines(spark, sf_dir):
     return vote.assemble_lines(view(spark, sf_dir, "candidates"))
 
 
-@query(f"SELECT crop_id, sum(elapsed) AS paddle_total, count(*) AS paddle_pass_count FROM (SELECT *, x / 4 AS elapsed FROM {duck('candidates')}) GROUP BY crop_id")
+@query(f"SELECT crop_id, sum(elapsed) AS paddle_total, count(*) AS paddle_pass_count, string_agg(concat(seq, ':', {_js('elapsed')}), ' ' ORDER BY seq) AS paddle_passes FROM (SELECT *, x / 4 AS elapsed FROM {duck('candidates')}) GROUP BY crop_id")
 def pass_timings(spark, sf_dir):
-    return vote.timings(view(spark, sf_dir, "candidates").withColumn("elapsed", F.col("x") / 4)).drop("paddle_passes")
+    d = vote.timings(view(spark, sf_dir, "candidates").withColumn("elapsed", F.col("x") / 4))
+    each = F.transform("paddle_passes", lambda p: F.concat(p.seq.cast("string"), F.lit(":"), ranges.js_number(p.elapsed)))
+    return d.withColumn("paddle_passes", F.array_join(each, " "))
 
 
 SYMBOLS = "(seq + crop_id) % 7 = 0 AS plus_minus, (seq + crop_id) % 5 = 0 AS degree, (seq * crop_id) % 11 = 0 AS radius, CAST((seq * 3 + crop_id) % 40 AS double) / 100 AS diameter_score"
@@ -563,7 +669,7 @@ def box_geometry(spark, sf_dir):
 # The store and its pages.
 
 
-@query(f"SELECT id, number, coalesce(nullif(value, ''), label, '') AS text FROM {A} WHERE kind = 'label' AND trim(coalesce(nullif(value, ''), label, '')) <> ''")
+@query(f"SELECT id, number, trim(value) AS text FROM {A} WHERE kind = 'label' AND trim(value) <> ''")
 def label_options(spark, sf_dir):
     return sheet.label_options(annotations(spark, sf_dir))
 
@@ -583,11 +689,19 @@ def saved_drafts(spark, sf_dir):
     return store.from_drafts(drafts, labels).select("id", "kind", "value", "label", "method", "tool", "range")
 
 
-@query(f"SELECT id, CASE WHEN kind = 'label' AND number % 2 = 0 THEN 'NEW ' || number ELSE label END AS label, CASE WHEN kind = 'label' AND number % 2 = 0 THEN 'NEW ' || number ELSE value END AS value FROM {A}")
+@query(f"""WITH e AS (SELECT id, concat(' NEW ', number, ' ') AS text, CASE WHEN number % 4 = 0 THEN 'R5' ELSE ' 7±0.1 ' END AS value, CASE WHEN number % 3 = 0 THEN ' ' ELSE '±1' END AS range, ' Probe' AS method, '' AS tool FROM {A} WHERE kind = 'label' AND number % 2 = 0),
+f AS (SELECT label_id, arg_min(id, (number, id)) AS id FROM {A} WHERE coalesce(kind, 'dimension') = 'dimension' AND label_id IS NOT NULL GROUP BY 1),
+v AS (SELECT f.id, e.* EXCLUDE id FROM e JOIN f ON f.label_id = e.id)
+SELECT a.id, CASE WHEN v.id IS NOT NULL THEN trim(v.value) WHEN e.id IS NOT NULL THEN trim(e.text) ELSE a.value END AS value, CASE WHEN v.id IS NOT NULL THEN trim(v.text) ELSE a.label END AS label,
+  CASE WHEN v.id IS NULL THEN a.type WHEN v.value = 'R5' THEN 'Radius' ELSE 'Tolerance' END AS type, CASE WHEN v.id IS NOT NULL THEN nullif(trim(v.range), '') ELSE a.range END AS range,
+  CASE WHEN v.id IS NOT NULL THEN 'Probe' ELSE a.method END AS method, CASE WHEN v.id IS NOT NULL THEN NULL ELSE a.tool END AS tool FROM {A} AS a LEFT JOIN e ON e.id = a.id LEFT JOIN v ON v.id = a.id""")
 def edited_labels(spark, sf_dir):
     a = annotations(spark, sf_dir)
-    edits = a.where("number % 2 = 0").select("id", F.concat(F.lit("NEW "), F.col("number").cast("string")).alias("text"))
-    return store.edit_labels(a, edits).select("id", "label", "value")
+    edits = a.where("kind = 'label' and number % 2 = 0").select(
+        "id", F.expr("concat(' NEW ', number, ' ')").alias("text"), F.expr("if(number % 4 = 0, 'R5', ' 7±0.1 ')").alias("value"), F.expr("if(number % 3 = 0, ' ', '±1')").alias("range"),
+        F.lit(" Probe").alias("method"), F.lit("").alias("tool"),
+    )
+    return store.edit_labels(a, edits).select("id", "value", "label", "type", "range", "method", "tool")
 
 
 @query("SELECT p_partkey, 'P' || p_size AS project, 'a b|' || p_type AS columns FROM part")
@@ -636,3 +750,6 @@ def gray_pictures(spark, sf_dir):
     rgb = F.unhex(F.concat(F.expr("repeat('ffffff', 6)"), F.lpad(F.hex("page_id"), 6, "0"), F.expr("repeat('2040ff', 5)")))
     pictures = boxes(spark, sf_dir).select("page_id").distinct().withColumns({"width": F.lit(4), "height": F.lit(3), "data": rgb})
     return ink.gray_pictures(pictures).select("page_id", F.hex("gray").alias("gray"))
+
+
+from . import parts  # noqa: E402, F401  (registers the queries of single functions and stages)

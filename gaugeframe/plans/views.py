@@ -31,12 +31,14 @@ SELECT user_id AS crop_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY
 ANNOTATIONS = f"""
 SELECT concat('P', cast(p_partkey % 7 AS string)) AS project_id, concat('L', cast(p_partkey AS string)) AS id, p_partkey AS number, 'label' AS kind, p_type AS label,
   CASE WHEN p_size % 9 = 0 THEN '' ELSE p_name END AS value, 'Note' AS type, cast(NULL AS string) AS label_id, '' AS range,
-  CASE p_size % 3 WHEN 0 THEN 'Measure' WHEN 1 THEN '' ELSE NULL END AS method, CASE p_size % 4 WHEN 0 THEN 'Caliper' WHEN 1 THEN 'A & "B" <C>' ELSE NULL END AS tool
+  CASE p_size % 3 WHEN 0 THEN 'Measure' WHEN 1 THEN '' ELSE NULL END AS method, CASE p_size % 4 WHEN 0 THEN 'Caliper' WHEN 1 THEN 'A & "B" <C>' ELSE NULL END AS tool,
+  cast(p_partkey % 3 + 1 AS int) AS page, cast(p_size AS double) / 64 AS confidence, cast(p_partkey % 900 AS double) / 4 AS x, cast(p_size * 5 AS double) AS y, cast(60 AS double) AS w, cast(p_size AS double) / 2 AS h, cast(p_size % 4 * 90 AS int) AS rotation
 FROM {{part}} WHERE p_size <= 40
 UNION ALL
 SELECT concat('P', cast(l_partkey % 7 AS string)), concat('D', cast(l_orderkey AS string), '-', cast(rn AS string)), l_orderkey * 100 + rn, CASE WHEN l_linenumber = 2 THEN NULL ELSE 'dimension' END,
   l_returnflag, value, l_linestatus, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE concat('L', cast(l_partkey AS string)) END, tolerance,
-  CASE l_suppkey % 4 WHEN 0 THEN 'Inspect' WHEN 1 THEN '' ELSE NULL END, CASE l_suppkey % 5 WHEN 0 THEN 'Gauge' ELSE '' END
+  CASE l_suppkey % 4 WHEN 0 THEN 'Inspect' WHEN 1 THEN '' ELSE NULL END, CASE l_suppkey % 5 WHEN 0 THEN 'Gauge' ELSE '' END,
+  cast(l_suppkey % 3 + 1 AS int), cast(l_suppkey % 65 AS double) / 64, cast(l_partkey % 600 AS double), cast(l_suppkey % 400 AS double) / 2, cast(10 + l_partkey % 40 AS double), cast(10 + rn * 7 AS double), cast(l_linenumber % 4 * 90 AS int)
 FROM (SELECT *, cast({ROW} AS bigint) AS rn FROM ({SPECS}) AS s) AS d
 """
 TABLES = {"specs": (SPECS, ["lineitem"]), "boxes": (BOXES, ["lineitem"]), "candidates": (CANDIDATES, ["events"]), "annotations": (ANNOTATIONS, ["lineitem", "part"])}

@@ -108,7 +108,11 @@ def test_order_split_and_fragments(spark):
     mixed = boxes(spark, [(10, 20, 14, 60), (12, 95, 50, 12)]).withColumn("cluster_id", F.lit(0))
     assert B.split_mixed(mixed).select("part").distinct().count() == 2
     frag = boxes(spark, [(10, 20, 16, 72), (11, 24, 6, 8)]).withColumnRenamed("box_id", "cluster_id")
-    assert {r.cluster_id: r.anchor_id for r in B.absorb_fragments(frag).collect()} == {0: 0, 1: 0}
+    own = frag.withColumnRenamed("cluster_id", "box_id").withColumn("cluster_id", F.col("box_id"))
+    assert {r.cluster_id: r.anchor_id for r in B.absorb_fragments(frag, B.first_axes(own)).collect()} == {0: 0, 1: 0}
+    # a square cluster whose first box is vertical takes fragments on the vertical axis
+    two = boxes(spark, [(0, 0, 20, 40), (20, 0, 20, 40), (2, 45, 10, 20)]).withColumn("cluster_id", F.when(F.col("box_id") < 2, 0).otherwise(2))
+    assert {r.cluster_id: r.anchor_id for r in B.absorb_fragments(B.bounds(two), B.first_axes(two)).collect()} == {0: 0, 2: 0}
     over = boxes(spark, [(300, 210, 48, 72), (285, 245, 111, 32)]).withColumnRenamed("box_id", "cluster_id")
     assert B.overlapping_clusters(over).select("merged_id").distinct().count() == 1
     u = B.bounds(boxes(spark, [(10, 20, 14, 40), (10, 64, 14, 30)]).withColumn("cluster_id", F.lit(0))).first()
@@ -158,7 +162,16 @@ def test_template(spark, tmp_path):
     assert first[0, "row_1_part1"] == ("number", 58.16, 58.26) and first[1, "row_2_part1"] == ("text", None, None)
     doc = template.documents(rows, ["part1", "part2"]).first()
     parsed = json.loads(doc.json)
-    assert doc.row_count == 2 and parsed["items"][0]["items"][6] == {"type": "number", "id": "row_1_part1", "range": {"min": 58.16, "max": 58.26}}
+    assert list(parsed) == ["template_id", "template_name", "description", "version", "created_by", "items"]
+    assert doc.row_count == 2 and len(parsed["items"]) == 3 and parsed["template_name"] == {"en": "TS2 1 Cone", "hi": "TS2 1 Cone"}
+    head, row = parsed["items"][0]["items"], parsed["items"][1]["items"]
+    assert [c["items"][0]["label"]["en"] for c in head] == ["S.No", "Label", "Value", "Tolerance", "Method", "Tool", "part1", "part2"]
+    assert head[0]["items"][0]["style"] == {"font_size": 12, "vertical_alignment": "center", "horizontal_alignment": "center", "bold": True}
+    assert row[6] == {
+        "repeat_per_shift": "true/false", "depends_on_sections": [], "type": "Section", "Orientation": "Vertical", "fill": "uniform", "style": {"width": "23.5%"},
+        "items": [{"id": "row_1_part1", "type": "number", "input_type": "text", "range": {"min": 58.16, "max": 58.26}, "required": False, "style": {"font_size": 11}}],
+    }
+    assert parsed["items"][2]["items"][7]["items"][0] == {"id": "row_2_part2", "type": "text", "input_type": "text", "required": False, "style": {"font_size": 11}}
     path = str(tmp_path / "t.json")
     assert files.save_json(doc.json, path) is False and files.save_json(doc.json, path) is True
     with pytest.raises(ValueError, match="no extra_columns"):
@@ -172,10 +185,36 @@ def test_template(spark, tmp_path):
 
 def test_registry_and_store(spark):
     index = spark.createDataFrame([(0, "a", "fa", "n", ["u"]), (1, "b", "fb", "n", ["u"])], "pos int, id string, file string, name string, users array<string>")
-    new = spark.createDataFrame([(" a", "fa", "n"), ("a", "fx", "n"), ("c", "fb", "n"), ("d", "fd", "n"), (" ", "f", "n")], "id string, file string, name string")
+    new = spark.createDataFrame([(0, " a", "fa", "n"), (1, "a", "fx", "n"), (2, "c", "fb", "n"), (3, "d", "fd", "n"), (4, " ", "f", "n")], "seq int, id string, file string, name string")
     assert sorted(r.outcome for r in template.register(index, new).collect()) == ["added", "file_conflict", "id_conflict", "invalid", "unchanged"]
     assert [r.id for r in template.appended(index, new).orderBy("pos").collect()] == ["a", "b", "d"]
+    batch = [(0, "x", "f1", "n"), (1, "x", "f2", "n"), (2, "y", "f2", "n"), (3, "x", "f1", "n"), (4, "z", "f2", "n"), (5, "w", "f3", "n")]
+    added = template.appended(index, spark.createDataFrame(batch, "seq int, id string, file string, name string")).orderBy("pos").collect()
+    assert [(r.pos, r.id, r.file) for r in added][2:] == [(2, "x", "f1"), (3, "y", "f2"), (4, "w", "f3")]
     a = spark.createDataFrame([("1", "x", "y"), ("2", None, "y")], "id string, label string, value string")
     ch = spark.createDataFrame([("1", ["label"], None, "z")], "id string, set array<string>, label string, value string")
     assert {tuple(r) for r in store.patch(a, ch, ["label", "value"]).collect()} == {("1", None, "y"), ("2", None, "y")}
     assert sheet.column_names(30) == [f"part{i}" for i in range(1, 21)] and sheet.column_names(2, ["a", " "]) == ["a", "col2"]
+
+
+def test_hints_and_ranges(spark):
+    def hinted(text, **h):
+        df = spark.createDataFrame([(text, h.get("score"), h.get("pm"), h.get("degree"))], "t string, diameter_score double, plus_minus boolean, degree boolean")
+        return df.select(X.merge_symbol_hints(F.col("t"), F.struct("diameter_score", "plus_minus", "degree")).alias("o")).first().o
+
+    assert hinted("(φ12", score=0.4) == "Ø12" and hinted(" 12.5 ", score=0.32) == "Ø12.5" and hinted("R5", score=0.9) == "R5" and hinted("12", score=0.3) == "12"
+    assert hinted("Ø12.5 0.1", pm=True) == "Ø12.5 0.1" and hinted("12.5 0.1 ", pm=True) == "12.5±0.1" and hinted("12 9", pm=True) == "12 9" and hinted("12.5 0.1 +/-", pm=True) == "12.5 0.1 +/-"
+    assert hinted("32′20'", degree=True) == "32°20'" and hinted("32 '", degree=True) == "32°" and hinted("32°5'", degree=True) == "32°5'" and hinted("  ", score=1.0) == ""
+    texts = ["50±.05", "±x 7", "a", "1±2±3", "5±"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.o for r in df.select("i", X.derive_range(F.col("t")).alias("o")).orderBy("i").collect()] == ["+.05, -.05", "+7, -7", "", "+2, -2", ""]
+    size = spark.createDataFrame([(10, 10), (10, 26), (0, 3), (26, 10)], "w int, h int").select(X.orientation_of_box(F.col("w"), F.col("h")).alias("o"))
+    assert [r.o for r in size.collect()] == ["horizontal", "vertical", "vertical", "horizontal"]
+
+
+def test_unicode_space_and_primes(spark):
+    data = [("215.37\u00a0±\u00a00.05", "215.37±0.05"), ("\u200312.5″\u2003", '12.5"')]
+    df = spark.createDataFrame(data, "t string, want string")
+    assert all(r.o == r.want for r in df.select("want", X.fix_symbols(F.col("t")).alias("o")).collect())
+    cad = spark.createDataFrame([("12.5″", "12.5"), ("215,370.05", "215.37±0.05"), ("215.370.05", "215.37±0.05"), ("17.5+0.25", "17.5±0.25"), ("215.37,05", "215.37±0.05"), ("FINISH A", "FINISH A")], "t string, want string")
+    assert all(r.o == r.want for r in cad.select("want", X.normalize_cad_number(F.col("t")).alias("o")).collect())
