@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import geometry as G
 from ..functions import text as X
+from ..sources.tables import materialise
 
 
 def BOX():
@@ -209,11 +210,12 @@ def segment(boxes: DataFrame, ratio: float = 0.72, width: float = 0.0, height: f
     """The page's dimensions as ordered boxes: bridges go, boxes cluster, fragments join their
     anchors, clusters of two axes split, second looks (detections, see ``expand``) replace oversized
     ones, and overlapping ones merge."""
-    d = clusters(drop_bridges(boxes), ratio, width, height)
+    # each step's result is read several times: it is written once
+    d = materialise(clusters(drop_bridges(boxes), ratio, width, height))
     d = d.join(absorb_fragments(bounds(d), first_axes(d)), ["page_id", "cluster_id"]).drop("cluster_id").withColumnRenamed("anchor_id", "cluster_id")
-    d = split_mixed(d).withColumn("cluster_id", F.col("cluster_id") * 3 + F.col("part")).drop("part")
+    d = materialise(split_mixed(d).withColumn("cluster_id", F.col("cluster_id") * 3 + F.col("part")).drop("part"))
     if looks is not None:
-        d = expand(d, looks, width, height, ratio)
+        d = materialise(expand(d, looks, width, height, ratio))
     d = d.join(overlapping_clusters(bounds(d)), ["page_id", "cluster_id"]).drop("cluster_id").withColumnRenamed("merged_id", "cluster_id")
     return order(bounds(d))
 
@@ -226,7 +228,7 @@ def regions(ordered: DataFrame, readings: DataFrame, rereads: DataFrame, width:
     d = ordered.where((c.w >= 1) & (c.h >= 1)).join(readings, ["page_id", "cluster_id"])
     d = d.withColumn("text", X.strip(F.coalesce("text", F.lit("")))).where((F.col("text") != "") & C.is_segment_worthy(F.col("text")))
     d = d.select("page_id", F.col("cluster_id").alias("box_id"), *[F.round(F.col(k), 1).alias(k) for k in "xywh"], "text", "conf", "type", "place")
-    return dedupe_regions(complete_angles(d, rereads, width))
+    return dedupe_regions(materialise(complete_angles(materialise(d), rereads, width)))
 
 
 def proposals(upright: DataFrame, turned: DataFrame, width: float, height: float, least_fill: float = 0.025) -> DataFrame:
@@ -250,7 +252,7 @@ def expand(clustered: DataFrame, detections: DataFrame, width: float, height: fl
     cluster ids and box ids follow the page's largest."""
     keys = ["page_id", "cluster_id"]
     large = oversized(bounds(clustered), width, height).where("oversized").select(*keys, G.crop_rect(BOX(), F.lit(width), F.lit(height), 4).alias("c"))
-    found = detections.join(large, keys).withColumns({"x": F.round(F.col("x") + F.col("c.x"), 1), "y": F.round(F.col("y") + F.col("c.y"), 1)})
+    found = materialise(detections.join(large, keys).withColumns({"x": F.round(F.col("x") + F.col("c.x"), 1), "y": F.round(F.col("y") + F.col("c.y"), 1)}))
     # each crop is a page of its own, named by its page and cluster
     crop = F.to_json(F.struct(*keys))
     names = found.select(crop.alias("crop"), *keys).distinct()
@@ -260,7 +262,7 @@ def expand(clustered: DataFrame, detections: DataFrame, width: float, height: fl
     w, h = G.union_size(a, b)
     pairs = _pairs(inner, True).join(caps, "page_id").where(G.should_merge(a, b, ratio) & (w <= 0.34 * F.col("cw")) & (h <= 0.42 * F.col("ch")))
     sub = split_mixed(inner.drop("cw", "ch").join(components(inner, pairs), ["page_id", "box_id"]))
-    sub = sub.withColumnRenamed("page_id", "crop").withColumnRenamed("cluster_id", "sub_id").join(names, "crop")
+    sub = materialise(sub.withColumnRenamed("page_id", "crop").withColumnRenamed("cluster_id", "sub_id").join(names, "crop"))
     many = sub.groupBy(*keys).agg(F.count_distinct("sub_id", "part").alias("n")).where("n > 1").select(*keys)
     sub = sub.join(many, keys, "left_semi")
     top = clustered.groupBy("page_id").agg(F.max("cluster_id").alias("top_cluster"), F.max("box_id").alias("top_box"))

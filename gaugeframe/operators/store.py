@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import ids
 from ..functions import text as X
 
 
@@ -37,6 +38,13 @@ def load(annotations: DataFrame, project: str) -> DataFrame:
     return annotations.where(F.col("project_id") == project).drop("project_id")
 
 
+def fetch(project_ids: DataFrame, projects: DataFrame, annotations: DataFrame) -> DataFrame:
+    """project_ids(project_id) with each project's name, less its extension ("Drawing" where there is no such
+    project), beside its annotations, whose columns are null where there are none."""
+    p = project_ids.join(projects.select(F.col("id").alias("project_id"), "name"), "project_id", "left")
+    return p.withColumn("name", ids.without_extension(F.coalesce("name", F.lit("Drawing")))).join(annotations, "project_id", "left")
+
+
 def list_projects(projects: DataFrame) -> DataFrame:
     return projects.orderBy(F.desc("updated_at"))
 

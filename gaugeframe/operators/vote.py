@@ -24,7 +24,7 @@ def vote(candidates: DataFrame) -> DataFrame:
     """crop_id, text, confidence, agreement, corrected: the text of the largest total score, the one
     seen first on ties.  The first candidate surer than 0.95 ends the reading and wins outright."""
     d = scored(candidates)
-    early = d.where(F.col("conf") > EARLY).groupBy("crop_id").agg(F.min_by(F.struct("normalized", "conf", "corrected"), "seq").alias("e"))
+    early = d.where((F.col("conf") > EARLY) & (X.strip(F.col("normalized")) != "")).groupBy("crop_id").agg(F.min_by(F.struct("normalized", "conf", "corrected"), "seq").alias("e"))
     groups = d.groupBy("crop_id", "normalized").agg(
         F.sum("score").alias("total"), F.count("*").alias("n"), F.max("conf").alias("best"), F.bool_or("corrected").alias("corrected"), F.min("seq").alias("first")
     )
@@ -52,7 +52,7 @@ def assemble(words: DataFrame) -> DataFrame:
     """crop_id, text, confidence, vertical of words(crop_id, seq, text, x, y, w, h, conf)."""
     size = words.groupBy("crop_id").agg((F.avg("h") > 2.5 * F.avg("w")).alias("vertical"))
     placed = reading_order(words.join(size, "crop_id"))
-    out = placed.groupBy("crop_id", "vertical").agg(F.avg("conf").alias("confidence"), F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s.text).alias("parts"))
+    out = placed.groupBy("crop_id", "vertical").agg(F.avg("conf").alias("confidence"), F.transform(F.sort_array(F.collect_list(F.struct("place", X.strip(F.col("text")).alias("text")))), lambda s: s.text).alias("parts"))
     joined = F.when(F.col("vertical"), F.array_join("parts", "")).otherwise(F.array_join("parts", " "))
     return out.select("crop_id", X.fix_symbols(joined).alias("text"), "confidence", "vertical")
 
@@ -110,14 +110,31 @@ def compose(readings: DataFrame) -> DataFrame:
     }).drop("_p", "_r", "_t", "_n", "_angle", "_ls", "_phi", *[f"_a{i}" for i in range(1, 7)])
 
 
-def assemble_lines(words: DataFrame, line: float = 15.0) -> DataFrame:
-    """crop_id, text of words(crop_id, seq, text, x, y), client-side: sorted by y, a new line where y
-    jumps by ``line`` or more, words of a line by x."""
-    w = Window.partitionBy("crop_id")
-    jump = F.col("y") - F.lag("y").over(w.orderBy("y", "seq")) >= line
-    d = words.withColumn("line", F.sum(F.when(jump, 1).otherwise(0)).over(w.orderBy("y", "seq")))
+def assemble_lines(words: DataFrame, orientation: str = "horizontal", line: float = 15.0) -> DataFrame:
+    """crop_id, text of words(crop_id, seq, text, x, y), client-side.  Vertical words stand by y and are
+    joined without blanks; rotated ones by x + y, others by y: a new line where y jumps by ``line`` or
+    more, and a line's words by x."""
+    clean = lambda c: X.js_strip(F.regexp_replace(c, f"{X.JS_S}+", " "))
+    if orientation == "vertical":
+        parts = F.transform(F.sort_array(F.collect_list(F.struct("y", "seq", X.js_strip(F.col("text")).alias("text")))), lambda s: s.text)
+        return words.groupBy("crop_id").agg(F.array_join(parts, "").alias("text"))
+    w = Window.partitionBy("crop_id").orderBy(F.col("x") + F.col("y") if orientation == "rotated" else F.col("y"), "seq")
+    jump = F.abs(F.col("y") - F.lag("y").over(w)) >= line
+    d = words.withColumn("line", F.sum(F.when(jump, 1).otherwise(0)).over(w))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "seq", "text"))), lambda s: s.text)
-    return d.groupBy("crop_id").agg(X.strip(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ")).alias("text"))
+    return d.groupBy("crop_id").agg(clean(F.array_join(parts, " ")).alias("text"))
+
+
+def winners_words(candidates: DataFrame, words: DataFrame) -> DataFrame:
+    """words(crop_id, seq, …), of every candidate, of the one that won: the first surer than 0.95, else of
+    the winning text's candidates the surest, the first on ties."""
+    d = scored(candidates)
+    won = vote(candidates).select("crop_id", F.col("text").alias("_won"))
+    mine = d.join(won, "crop_id").where(F.col("normalized") == F.col("_won"))
+    early = d.where((F.col("conf") > EARLY) & (X.strip(F.col("normalized")) != "")).groupBy("crop_id").agg(F.min("seq").alias("_early"))
+    best = mine.groupBy("crop_id").agg(F.max_by("seq", F.struct("conf", -F.col("seq"))).alias("_best"))
+    pick = best.join(early, "crop_id", "left").select("crop_id", F.coalesce("_early", "_best").alias("seq"))
+    return words.join(pick, ["crop_id", "seq"], "left_semi")
 
 
 def recognise(candidates: DataFrame, symbols: DataFrame) -> DataFrame:

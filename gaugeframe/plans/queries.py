@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import boxes as B
 from ..operators import ink, sheet, store, template, vote
 from ..sources import files
+from ..sources.tables import materialise
 from .views import duck, view
 
 QUERIES, ORACLES = {}, {}
@@ -174,14 +175,6 @@ def cad_normalize(spark, sf_dir):
     return specs(spark, sf_dir, canonical=X.normalize_cad_number(F.expr(MISREAD)))
 
 
-#: A nominal with zeros and ones read as letters; SQL has no left-to-right fold, so a test checks this one.
-@query()
-def confusables(spark, sf_dir):
-    misread = F.translate(F.col("value"), "015", "OlS")
-    fixed = X.correct_confusables(misread)
-    return specs(spark, sf_dir, misread=misread, fixed=fixed.text, changed=fixed.changed)
-
-
 @query(spec_sql("coalesce(nullif(regexp_replace(regexp_replace(lower(value), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x') AS safe"))
 def safe_id(spark, sf_dir):
     return specs(spark, sf_dir, safe=ids.safe_id(F.col("value")))
@@ -409,24 +402,11 @@ def cluster_order(spark, sf_dir):
     return B.order(B.bounds(B.clusters(boxes(spark, sf_dir), 0.72))).select("page_id", "cluster_id", "place")
 
 
-#: Sequential by nature; tests compare these with loops.
-@query()
-def nms_regions(spark, sf_dir):
-    r = boxes(spark, sf_dir).withColumns({"text": F.concat("x", F.lit("±"), "y"), "conf": F.col("h") / 100})
-    return B.dedupe_regions(r).select("page_id", "box_id")
-
-
-@query()
-def absorb_fragments(spark, sf_dir):
-    d = B.clusters(B.drop_bridges(boxes(spark, sf_dir)), 0.72, 600.0, 400.0)
-    return B.absorb_fragments(B.bounds(d), B.first_axes(d))
-
-
 @query()
 def segment_pages(spark, sf_dir):
     """From boxes to regions: the clusters' readings, second looks and rereads are made of numbers of theirs."""
     b = boxes(spark, sf_dir)
-    ordered = B.segment(b, 0.72, 600.0, 400.0, _looks(b))
+    ordered = materialise(B.segment(b, 0.72, 600.0, 400.0, materialise(_looks(b))))
     text = F.concat((F.col("cluster_id") * 7 % 90).cast("string"), F.when(F.col("cluster_id") % 2 == 0, "°").otherwise(".5"))
     readings = ordered.select("page_id", "cluster_id", text.alias("text"), F.lit(0.9).alias("conf"), F.when(F.col("cluster_id") % 2 == 0, "angle").otherwise("linear").alias("type"))
     again = F.concat((F.col("cluster_id") * 7 % 90).cast("string"), F.lit("°20'"), (F.col("page_id") % 60).cast("string"), F.lit('"'))
@@ -623,15 +603,9 @@ def split_by_axis(spark, sf_dir):
     return B.split_mixed(d).select("page_id", "box_id", "cluster_id", "part")
 
 
-#: Greedy by definition; a test compares it with a loop.
-@query()
-def dedupe_boxes(spark, sf_dir):
-    return B.dedupe_boxes(boxes(spark, sf_dir).withColumn("fill", F.expr(INK))).select("page_id", "box_id")
-
-
 @query()
 def expand_clusters(spark, sf_dir):
-    d = B.clusters(boxes(spark, sf_dir), 0.72)
+    d = materialise(B.clusters(boxes(spark, sf_dir), 0.72))
     halves = B.bounds(d).select("page_id", "cluster_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("box_id"), "w", "h")
     looks = halves.select("page_id", "cluster_id", "box_id", F.lit(4.0).alias("x"), (4 + (F.col("box_id") - 1) * F.col("h") * 0.75).alias("y"), "w", (F.col("h") / 4).alias("h"))
     return B.expand(d, looks, 600.0, 400.0)
@@ -724,15 +698,6 @@ def file_keys(spark, sf_dir):
     return p.select("p_partkey", ids.hash_key(F.col("p_name").cast("binary")).alias("hash"), ids.file_base(F.concat("p_name", F.lit(" X"))).alias("base"))
 
 
-#: One JSON file a project; a test reads them back.
-@query()
-def project_bundles(spark, sf_dir):
-    a = annotations(spark, sf_dir).select("project_id", "number", "id", "kind", "label", "value")
-    source = F.struct(F.lit("d.png").alias("fileName"), F.lit("image/png").alias("mimeType"), F.lit("image").alias("fileType"), F.lit("data:,").alias("dataUrl"))
-    projects = a.select("project_id").distinct().select("project_id", F.col("project_id").alias("project_name"), F.lit(0).cast("long").alias("saved_at"), source.alias("source"))
-    return files.bundles(projects, a, "project")
-
-
 # Pixels: masks made of boxes' numbers; numpy isn't SQL's, loops in tests check it.
 
 
