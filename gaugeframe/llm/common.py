@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..sources.tables import materialise, release, shared_dir
+
+__all__ = ["ASCII_SPACE", "give_back", "holdout", "let", "materialise", "per_text", "release", "shared_dir", "ship", "small", "table", "worker_memo"]
+
 #: ASCII white space: what separates words in the contracts of operators 4, 5 and 6.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -75,46 +78,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, ``spark.checkpoint.dir``.  Where it is unset, a temporary
-    one in local mode only: elsewhere executors wouldn't see each other's files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="gaugeframe-")
-    return base
-
-
-def _on_disk(spark: SparkSession, path: str):
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and
-    every executor can read it, whichever wrote it.  The files go when the JVM ends,
-    or with ``release``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gaugeframe/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    fs, jpath = _on_disk(spark, path)
-    fs.deleteOnExit(jpath)
-    out = spark.read.schema(schema).parquet(path)
-    out.written = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for tables that nothing reads any more."""
-    for t in tables:
-        fs, jpath = _on_disk(t.sparkSession, t.written)
-        fs.delete(jpath, True)
-
-
 def holdout(id_col: str, modulus: int, remainder: int) -> Column:
     """True where crc32(id as text) mod ``modulus`` is ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))

@@ -2,9 +2,12 @@
 
 A page is read once, as a stream of tags and text; block-level tags cut the text into flat
 blocks.  A block is described by its words and link density, by those of its neighbours
-before and after, and by the nearest enclosing element that says what it is (an article, or
-page furniture).  A decision tree, grown by Gini impurity on the small labelled table below,
-tells main text from the rest.
+before and after, and by what the elements around it say of themselves.  Elements and names
+that mean furniture (``nav``, ``cookie-notice``) or content say so outright; a name that
+only holds such a word beside others (``related-work``) is a hint, and one that speaks of
+another part (``no-sidebar``, ``has-header``) says nothing.  A decision tree, grown by Gini
+impurity on the small labelled table below, tells main text from the rest: the features
+decide wherever names don't.
 
 Work is a map over rows: no shuffle.  Defined cases: null, empty or text-free html gives an
 empty text; unclosed and stray tags, comments and script are read as browsers do, near
@@ -42,6 +45,13 @@ FURNITURE_WORDS = (
     "teaser toc toolbar widget widgets"
 ).split()
 CONTENT_WORDS = "article body content entry main post story".split()
+#: Words that don't change what a name with one of the above means, and words that make it speak of something else.
+NEUTRAL_WORDS = (
+    "area articles bar block bottom box btn buttons col column container desktop el entries fixed full global group holder icon icons inner item items js "
+    "left level link links list local mini mobile module nr number outer page pane panel part posts primary right row secondary section site slot small "
+    "sticky stories tab tertiary text title top unit view wide wrap wrapper zone"
+).split()
+OTHER_WORDS = "has hide hides is no non not show shows with without".split()
 
 #: An attribute's name and value.  A quote opens a value only after "="; one that nothing closes is a plain character.
 NAME, VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
@@ -50,31 +60,60 @@ ATTRIBUTE = re.compile(rf"({NAME})({VALUE})?+")
 RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _raw, _cuts, _holders, _furniture, _content = map(frozenset, (RAW, CUTS, HOLDERS, FURNITURE, CONTENT))
-_bad, _good = frozenset(FURNITURE_WORDS), frozenset(CONTENT_WORDS)
+_bad, _good, _neutral, _other = map(frozenset, (FURNITURE_WORDS, CONTENT_WORDS, NEUTRAL_WORDS, OTHER_WORDS))
+
+
+#: What an element says of the text in it; a hint lowers what the elements around it say.
+IS_CONTENT, SAYS_NOTHING, HINT, IS_FURNITURE = 1.0, 0.0, -0.5, -1.0
+
 
+def meaning(name: str) -> float:
+    """Of one name in class, id or role."""
+    words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+    if not words or _other.intersection(words):
+        return SAYS_NOTHING
+    if _bad.isdisjoint(words):
+        return SAYS_NOTHING if _good.isdisjoint(words) else IS_CONTENT
+    return IS_FURNITURE if all(w in _bad or w in _neutral or w in _good for w in words) else HINT
 
-def role(tag: str, attributes: str, inside: int) -> int:
-    """1 content, -1 furniture, 0 if the element doesn't say."""
+
+def role(tag: str, attributes: str) -> float:
+    said = IS_CONTENT if tag in _content else IS_FURNITURE if tag in _furniture else SAYS_NOTHING
     if attributes:
         own: dict[str, str] = {}
         for name, value in ATTRIBUTE.findall(attributes):
             value = value.strip()[1:].strip()
             own.setdefault(name.lower(), value[1:-1] if value[:1] in ('"', "'") and value[-1:] == value[0] else value)
-        words = {w for k in ("class", "id", "role") if k in own for w in re.findall(r"[a-z]+", own[k].lower())}
-        if words & _bad and tag != "body" and not (tag in _content and words & _good):
-            return -1
         unseen = "hidden" in own and not own["hidden"].lower().startswith("until")
         if unseen or NOT_SHOWN.search(own.get("style", "")) or own.get("aria-hidden", "").lower().startswith("true"):
-            return -1
-        if tag not in _furniture and words & _good:
-            return 1
-    return 1 if tag in _content else -1 if tag in _furniture else 0
+            return IS_FURNITURE
+        names = [meaning(n) for k in ("class", "id", "role") if k in own for n in own[k].split()]
+        if tag in _content and IS_CONTENT in names or tag == "body":
+            return said  # its own names agree, or are the whole page's
+        if IS_FURNITURE in names:
+            return IS_FURNITURE
+        if said == SAYS_NOTHING and names:
+            return IS_CONTENT if IS_CONTENT in names else min(names)
+        if HINT in names and tag not in _content:
+            return said
+    return said
+
+
+def around(stack: list[tuple[str, float]]) -> float:
+    """What the elements around a block say: the nearest that is sure, less half for hints inside it."""
+    hint = 0.0
+    for _, r in reversed(stack):
+        if r == HINT:
+            hint = HINT
+        elif r:
+            return r + hint if r > 0 else r
+    return hint
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int]]:
-    """(text, words, link density, role of the nearest element that has one) of the flat blocks."""
-    out: list[tuple[str, int, float, int]] = []
-    stack: list[tuple[str, int]] = []
+def blocks(page: str) -> list[tuple[str, int, float, float]]:
+    """(text, words, link density, what the elements around say) of the flat blocks."""
+    out: list[tuple[str, int, float, float]] = []
+    stack: list[tuple[str, float]] = []
     text: list[str] = []
     linked, links, pos, n = [0], 0, 0, len(page)
     heading = False
@@ -83,9 +122,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         s = " ".join("".join(text).split())
         if s:
             words = len(s.split())
-            near = next((r for _, r in reversed(stack) if r), 0)
+            near = around(stack)
             if heading and near < 0 and stack and stack[-1][0] == "header" and any(t == "article" for t, _ in stack):
-                near = 1  # an article's own header holds its title
+                near = IS_CONTENT  # an article's own header holds its title
             out.append((s, words, min(1.0, linked[0] / words), near))
         text.clear()
         linked[0] = 0
@@ -137,7 +176,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         if tag == "a":
             links = 1
         elif tag in _holders and not m[3].rstrip().endswith("/"):
-            stack.append((tag, role(tag, m[3], len(stack))))
+            stack.append((tag, role(tag, m[3])))
     flush()
     return out
 
@@ -153,6 +192,12 @@ LABELLED = """
 20 0 25 0 22 0 0 1|6 0 55 0 60 0 0 1|15 0 70 0 35 .1 0 1|50 0 0 0 0 0 0 1|35 .05 4 1 2 1 0 1|2 0 40 0 40 0 0 1|4 0 80 0 90 0 0 1|11 0 45 0 1 1 0 1
 1 1 1 1 1 1 0 0|2 1 0 0 1 1 0 0|3 1 50 0 2 1 0 0|4 0 1 1 2 1 0 0|6 .8 60 0 5 .9 0 0|5 0 30 .9 4 0 0 0|12 .7 12 .7 40 0 0 0|2 0 2 1 1 1 0 0
 7 0 3 0 0 0 0 0|40 .8 10 .7 12 .9 0 0|20 .6 8 .5 3 1 0 0|1 0 2 0 1 1 0 0|3 0 4 0 2 0 0 0|5 .4 6 .5 3 .6 0 0|9 .9 80 0 70 0 0 0|4 1 100 0 60 0 0 0
+75 .3 60 .1 50 .2 0 1|22 .2 45 .05 60 0 0 1|3 0 70 0 65 0 0 1|10 .1 2 0 55 0 0 1|200 .05 180 .02 150 .1 0 1|16 0 90 .1 80 0 0 1
+28 .9 30 .9 28 .9 0 0|14 .5 16 .6 12 .5 0 0|3 0 3 0 3 0 0 0|6 0 2 1 4 1 0 0|2 .5 2 .5 2 .5 0 0|60 .9 2 0 5 0 0 0
+60 0 50 0 70 0 .5 1|25 0 60 0 40 0 .5 1|120 .02 1 1 0 0 .5 1|12 0 40 0 55 0 .5 1|30 .1 20 0 25 0 .5 1|8 0 45 0 60 0 .5 1|2 0 30 0 60 0 .5 1
+6 .8 60 0 5 .9 .5 0|12 .7 12 .7 40 0 .5 0|3 1 4 1 50 0 .5 0|2 1 2 1 1 1 .5 0|40 .8 10 .7 12 .9 .5 0|5 .9 30 0 5 1 .5 0|4 1 80 0 4 1 .5 0
+60 0 50 0 70 0 -.5 1|90 .05 8 0 60 0 -.5 1|35 0 40 0 30 0 -.5 1|120 0 1 1 0 0 -.5 1|45 .1 2 1 45 0 -.5 1|28 0 70 0 65 0 -.5 1
+8 0 1 1 6 0 -.5 0|12 0 60 0 0 0 -.5 0|5 .5 6 .5 4 .6 -.5 0|2 1 1 1 3 1 -.5 0|20 .6 8 .5 3 1 -.5 0|15 0 3 0 5 0 -.5 0|7 .3 30 0 4 0 -.5 0
 """
 
 

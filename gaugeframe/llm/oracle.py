@@ -9,9 +9,7 @@ tri AS (SELECT r, i, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT r, w, unne
 rep AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
 n_rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r),
 line AS (SELECT r, host, raw, lower(array_to_string(regexp_extract_all(x, '{W}'), ' ')) AS h, len(regexp_extract_all(x, '{W}')) AS n FROM (SELECT r, host, raw, unnest(l) AS x FROM w)),
-many AS (SELECT host, h, count(DISTINCT coalesce(raw, '')) AS n FROM line GROUP BY ALL HAVING count(DISTINCT coalesce(raw, '')) >= 20),
-hosts AS (SELECT host, count(DISTINCT coalesce(raw, chr(0))) AS docs FROM d GROUP BY ALL),
-bad AS (SELECT m.host, m.h FROM many m JOIN hosts s ON m.host IS NOT DISTINCT FROM s.host WHERE m.n > 0.2 * s.docs),
+bad AS (SELECT host, h, count(DISTINCT coalesce(raw, '')) AS n FROM line GROUP BY ALL HAVING count(DISTINCT coalesce(raw, '')) >= 20),
 gone AS (SELECT r, sum(line.n) AS n FROM line JOIN bad ON line.host IS NOT DISTINCT FROM bad.host AND line.h = bad.h GROUP BY r),
 x AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_rep.n, 0) AS n_repeat_words, len(w) - coalesce(gone.n, 0) AS n_left

@@ -406,6 +406,28 @@ def test_quality_limit_does_not_grow_with_the_host(spark):
     assert all(got[500 + i] == (3 if i < 20 else 0) for i in range(39))  # a null host of 20 texts, and a host of 19
 
 
+def test_quality_sql_where_lines_go(spark):
+    """The registered SQL beside the registered parameters, on documents that fall for their lines only."""
+    import duckdb
+
+    from gaugeframe.llm.oracle import ORACLES
+
+    from ..compare import bag
+
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    menu = "\n".join(" ".join(f"menu{k}x{j}" for j in range(20)) for k in range(3))
+    data = [(i, f"{own(i, 70)}\n{menu if i < 30 else ''}", "en", "h", 0) for i in range(60)] + [(100 + i, f"{menu}\n{own(100 + i, 10)}", "en", "h", 0) for i in range(25)]
+    data += [(200, None, None, None, 0), (201, menu, "en", "other", 0), *[(300 + i, f"{menu}\n{own(300, 9)}", "en", None, 0) for i in range(40)]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    out = quality.line_quality(df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    rel = con.sql(ORACLES["op5_line_quality"])
+    assert bag(out.columns, out.collect()) == bag(rel.columns, rel.fetchall())
+    kept = {r["doc_id"]: r["kept"] for r in rows(out)}
+    assert all(kept[i] for i in range(60)) and not any(kept[100 + i] for i in range(25)) and all(kept[300 + i] for i in range(40)) and kept[201]
+
+
 # 6 near duplicates
 def brute_components(data):
     sets, ids = [], []
@@ -500,6 +522,28 @@ def test_html_main_text():
     assert len(html_text.main_blocks(bare)) == 2
 
 
+def test_html_names_of_other_things():
+    """Names that speak of another part say nothing, and names that only hold such a word are hints."""
+    text = lambda i: f"Paragraph {i} goes on for quite a while, with words enough to be read as text of its own and not as a label."
+    plain = "".join(f"<p>{text(i)}</p>" for i in range(4))
+    want = [text(i) for i in range(4)]
+    for names in ('id="page" class="site no-sidebar"', 'class="layout has-header"', 'class="with-comments"', 'class="hideNav"'):
+        assert html_text.main_blocks(f"<body><div {names}>{plain}</div></body>") == want, names
+    for names in ("related-work", "search-theory", "the-privacy-debate", "comment-on-method"):
+        assert html_text.main_blocks(f"<article><h1>Title</h1>{plain}<div class={names}><p>{text(9)}</p></div></article>") == ["Title", *want, text(9)], names
+    for names in ("cookie-notice", "related-posts", "sidebar-left", "commentList", "post-comments", "ad-slot-3", "site-footer", "main-nav"):
+        assert html_text.main_blocks(f"<article><h1>Title</h1>{plain}<div class={names}><p>{text(9)}</p></div></article>") == ["Title", *want], names
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i} here</a></li>" for i in range(6)) + "</ul>"
+    assert html_text.main_blocks(f"<body><div>{links}</div><div>{plain}</div><div>{links}</div></body>") == want  # no names at all
+
+
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>One two three.</p></article>")] * 2, "page_id long, url string, html string")
+    for c in ("doc_id", "text", "n_chars"):
+        df = df.withColumn(c, F.lit("x"))
+    assert [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in rows(html_text.extract(df))] == [(1, "u", "One two three.", 14)] * 2
+
+
 def test_html_long_attribute_values():
     for q, other in ("\"'", "'\""):
         for value in ("x>y " * 3000, f"<p class=ad>{other} display:none hidden " * 200):
