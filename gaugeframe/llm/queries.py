@@ -15,7 +15,8 @@ def op1_packing(spark, sf_dir):
 
 
 def op2_url_filter(spark, sf_dir):
-    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, counts=url_filter.vocabulary(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_ann(spark, sf_dir):

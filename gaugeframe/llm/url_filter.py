@@ -2,27 +2,35 @@
 
 Host rules come first: a rule (host, path prefix) fits its host and every subdomain, the
 longest fitting rule wins.  Where none fits, the host's names are split into words by
-Viterbi over a unigram model (``cheappillsonline`` is ``cheap pills online``; what no word
-explains is paid for by the character), and multinomial naive Bayes scores the host's and
-the path's tokens.  Both models are fitted to the small labelled table below.
-
-Work is a map over the rows, with a memo of hosts in each task: no shuffle, so a hot host
-costs nothing.  Defined cases: null or no ``://`` gives empty host and path, no rule and
-what the method says of no tokens (allow); repeated rows each get a row; other columns are
-ignored; an empty table gives an empty result.
+Viterbi over a unigram model (``cheappillsonline`` is ``cheap pills online``), and multinomial
+naive Bayes scores the host's and the path's tokens.
+
+The unigram model is learned from the corpus: ``vocabulary`` counts the words of all pages'
+texts and paths, and keeps those that are at least ``least_share`` of all, so at most
+1 / least_share of them, whatever the corpus; half of the probability is the labelled
+examples'.  What no word explains is a run, which costs by its length.  Two letters are a
+word only between longer ones (``houseofcards``): they fit anywhere else.  Naive Bayes is
+fitted to the labelled table below, about 350 names and paths; words outside it say nothing.
+
+Work is a map over the rows, with a memo of hosts in each task: no shuffle but that of the
+word counts, pre-aggregated, so a hot host costs nothing.  Defined cases: null or no ``://``
+gives empty host and path, no rule and what the method says of no tokens (allow); names of any
+length are split whole; splits of equal cost go to fewer tokens, log odds of 0 to allow;
+repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, worker_memo
 
 #: The rules of the contract, (host, path prefix, verdict).
 RULES = [
@@ -74,56 +82,81 @@ NEUTRAL = frozenset("www m mobile wap amp web site home blog blogs post posts ar
 PARTS = NEUTRAL | frozenset("news shop store forum community docs wiki help support contact about mail media photo archive".split())
 
 
+#: Share of all words that one must have to be in the vocabulary.
+LEAST_SHARE = 5e-6
+#: What isn't text in a page.
+MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>|&\w+;"
+
+
+def vocabulary(pages: DataFrame, url_col="url", html_col="html", least_share: float = LEAST_SHARE) -> dict[str, int]:
+    """Counts of the common words of all pages' texts and paths: at most 1 / least_share."""
+    path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "://[^/?#]*([^?#]*)", 1)
+    text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), MARKUP, " ")
+    words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", text, path)), "[^a-z]+")).alias("w")).where(F.length("w").between(2, 24))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return {r.w: r.n for r in counts.where((F.col("n") >= 2) & (F.col("n") >= least_share * total)).collect()}
+
+
+WORD, SHORT, RUN, BEGIN = range(4)
+
+
 class HostModel:
-    """Unigram word model for segmentation and multinomial naive Bayes over its words."""
+    """Unigram word model for segmentation and multinomial naive Bayes over the examples' words."""
 
-    def __init__(self, examples: dict[str, str] = EXAMPLES, unknown: float = 3.3, start: float = 10.0):
+    def __init__(self, counts: dict[str, int] | None = None, examples: dict[str, str] = EXAMPLES, start: float = 10.0, unknown: float = 2.0):
         texts = {k: [t.split() for t in v.replace("\n", " ").split(",")] for k, v in examples.items()}
-        counts = Counter(w for ts in texts.values() for t in ts for w in t)
-        total = sum(counts.values())
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
+        own = Counter(w for ts in texts.values() for t in ts for w in t)
+        counts, share = counts or {}, 0.5 if counts else 1.0
+        n, total = sum(own.values()), max(1, sum(counts.values()))
+        self.cost = {w: -math.log(share * own[w] / n + (1 - share) * counts.get(w, 0) / total) for w in own.keys() | counts.keys() if len(w) > 1}
         self.longest = max(map(len, self.cost))
-        self.unknown, self.start = unknown, start
-        vocabulary = len(counts)
+        self.start, self.unknown = start, unknown
         self.prior = {k: math.log(len(v) / sum(map(len, texts.values()))) for k, v in texts.items()}
         self.like = {}
         for k, ts in texts.items():
             c = Counter(w for t in ts for w in t)
-            n = sum(c.values())
-            self.like[k] = {w: math.log((c[w] + 0.5) / (n + 0.5 * vocabulary)) for w in counts}
+            size = sum(c.values())
+            self.like[k] = {w: math.log((c[w] + 0.5) / (size + 0.5 * len(own))) for w in own}
 
     def segment(self, name: str) -> list[str]:
-        """The cheapest split of ``name`` into words and runs of unknown characters, a run
-        being one token.  A run costs ``start`` and ``unknown`` a character, so that a short
-        word isn't picked out of the middle of a strange name.  Ties go to fewer tokens."""
-        inf = (math.inf, 0, 0, True)
-        # per end: (cost, tokens, start, unknown) of the best split that ends in a word, and in a run
-        word, run = [(0.0, 0, 0, False)], [inf]
+        """The cheapest split of ``name`` into words and runs of unknown characters.  A run is one token and
+        costs ``start`` and ``unknown`` a character; words of two letters stand between longer ones only."""
+        # per end and kind of the last token: (cost, tokens, where that token starts, kind before it)
+        best: list[dict[int, tuple]] = [{BEGIN: (0.0, 0, 0, BEGIN)}]
         for end in range(1, len(name) + 1):
-            w = r = inf
-            for start in range(max(0, end - self.longest), end - 2):  # words of a letter or two fit anywhere
+            found: dict[int, tuple] = {}
+
+            def offer(kind, way, found=found):
+                if kind not in found or way < found[kind]:
+                    found[kind] = way
+
+            for start in range(max(0, end - self.longest), end - 1):
                 c = self.cost.get(name[start:end])
-                if c is not None:
-                    for was_run, x in ((False, word[start]), (True, run[start])):
-                        w = min(w, (x[0] + c, x[1] + 1, start, was_run))
-            x = word[end - 1]
-            r = min((run[end - 1][0] + self.unknown, run[end - 1][1], end - 1, True), (x[0] + self.start + self.unknown, x[1] + 1, end - 1, False))
-            word.append(w), run.append(r)
+                if c is None:
+                    continue
+                kind = SHORT if end - start == 2 else WORD
+                for before, (cost, tokens, _, _) in best[start].items():
+                    if kind == WORD or before == WORD:
+                        offer(kind, (cost + c, tokens + 1, start, before))
+            for before, (cost, tokens, start, first) in best[end - 1].items():
+                if before == RUN:
+                    offer(RUN, (cost + self.unknown, tokens, start, first))
+                elif before != SHORT:
+                    offer(RUN, (cost + self.start + self.unknown, tokens + 1, end - 1, before))
+            best.append(found)
         out, end = [], len(name)
-        in_run = run[end][:2] < word[end][:2]
-        stop = end
+        kind = min((way[:2], k) for k, way in best[end].items() if k != SHORT)[1]
         while end:
-            at = run[end] if in_run else word[end]
-            if not (in_run and at[3]):
-                out.append(name[at[2] : stop])
-                stop = at[2]
-            end, in_run = at[2], at[3]
+            _, _, start, before = best[end][kind]
+            out.append(name[start:end])
+            end, kind = start, before
         return out[::-1]
 
     def tokens(self, host: str, path: str) -> list[str]:
         """Segmented names of the host, but the last (the registry's), and of the path."""
         names = re.findall(r"[^\W_]+", host.rpartition(".")[0] if "." in host else host) + re.findall(r"[^\W\d_]+", path.lower())
-        return [w for x in names for w in self.segment(x[:400]) + ([] if len(x) <= 400 else self.segment(x[400:]))]
+        return [w for x in names for w in self.segment(x)]
 
     def score(self, host: str, path: str) -> float:
         """log odds of block; a token unknown to both classes says nothing, nor does structure."""
@@ -133,13 +166,14 @@ class HostModel:
         host = ".".join(labels)
         s = self.prior["block"] - self.prior["allow"]
         for w in self.tokens(host, path):
-            if w in self.cost and w not in NEUTRAL:
+            if w in self.like["block"] and w not in NEUTRAL:
                 s += self.like["block"][w] - self.like["allow"][w]
         return s
 
 
 @lru_cache(1)
 def model() -> HostModel:
+    """The model without a corpus: the examples' words only."""
     return HostModel()
 
 
@@ -160,16 +194,19 @@ def fitting_rule(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
     return max(fits)[1:] if fits else None
 
 
-def judge(pages: DataFrame, rules=RULES, id_col="page_id", url_col="url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) per row; score is the method's log odds of block."""
+def judge(pages: DataFrame, rules=RULES, counts: dict[str, int] | None = None, id_col="page_id", url_col="url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) per row; score is the method's log odds of block.
+    counts: the corpus' common words, of ``vocabulary``."""
+    name = uuid.uuid4().hex
+    sent = pages.sparkSession.sparkContext.broadcast(counts or {})  # at most 1 / least_share words
     names = {"host": "string", "path": "string", "rule": "string", "verdict": "string", "score": "double"}
 
     def make():
-        m, score = model(), lru_cache(100_000)(model().score)
+        m, score = worker_memo(("url", name), lambda: (lambda m: (m, lru_cache(100_000)(m.score)))(HostModel(sent.value)))
 
         def one(url):
             host, path = split_url(url)
-            s = score(host, path) if len(path) < 2000 else m.score(host, path)
+            s = score(host, path) if len(host) + len(path) < 2000 else m.score(host, path)  # the memo keeps short ones
             rule, verdict = fitting_rule(host, path, rules) or (None, "block" if s > 0 else "allow")
             return host, path, rule, verdict, s
 

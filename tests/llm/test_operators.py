@@ -153,6 +153,55 @@ def test_segmentation():
         assert m.score(host, "/fr/825") <= 0, host
 
 
+def every_split(m, name):
+    """(cost, tokens, split) of every split by brute force."""
+
+    def go(at, last):
+        if at == len(name):
+            if last != "short":
+                yield 0.0, 0, []
+            return
+        for end in range(at + 1, len(name) + 1):
+            w = name[at:end]
+            kinds = [("run", m.start + m.unknown * len(w))] if last not in ("run", "short") else []
+            if w in m.cost and (len(w) > 2 or last == "word"):
+                kinds.append(("short" if len(w) == 2 else "word", m.cost[w]))
+            for kind, cost in kinds:
+                for c, n, rest in go(end, kind):
+                    yield cost + c, n + 1, [w, *rest]
+
+    return go(0, "begin")
+
+
+def cost_of(m, name, split):
+    return min(c for c, _, s in every_split(m, name) if s == split)
+
+
+@given(st.lists(st.sampled_from(["home", "and", "garden", "of", "in", "cards", "house", "news", "new", "the", "x", "qz", "times"]), max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_segmentation_by_exhaustion(parts):
+    m = url_filter.HostModel({"home": 500, "and": 9000, "garden": 300, "of": 9500, "in": 9100, "cards": 90, "house": 400, "new": 2000, "york": 100, "times": 300, "the": 20000, "news": 300})
+    name = "".join(parts)[:12]
+    got = m.segment(name)
+    cost, tokens, _ = min(((round(c, 9), n, s) for c, n, s in every_split(m, name)))
+    assert "".join(got) == name and round(cost_of(m, name, got), 9) == cost and len(got) == tokens
+
+
+def test_vocabulary_from_the_corpus(spark):
+    text = "the home and garden pages of the new york times, and a house of cards in the garden <b class=casino>by</b> the home "
+    df = spark.createDataFrame([(i, f"http://x.org/{'poker' if i else 'home'}/", f"<p>{text * 30}</p><script>var spamword</script>") for i in range(2)] + [(2, None, None)], "page_id long, url string, html string")
+    counts = url_filter.vocabulary(df)
+    assert counts["garden"] == 120 and counts["home"] == 121 and "casino" not in counts and "spamword" not in counts and "a" not in counts
+    m = url_filter.HostModel(counts)
+    assert m.segment("homeandgarden") == ["home", "and", "garden"] and m.segment("thenewyorktimes") == ["the", "new", "york", "times"]
+    assert m.segment("houseofcards") == ["house", "of", "cards"] and m.segment("zzofqq") == ["zzofqq"]
+    long = "x" * 392 + "onlinecasinopoker" + "y" * 700
+    assert "casino" in m.segment(long) and m.segment("") == []
+    clashing = df.withColumns({c: F.lit("x") for c in ("w", "n", "doc_id", "text", "host", "path", "rule", "verdict", "score")})
+    assert url_filter.vocabulary(clashing) == counts and url_filter.judge(clashing, counts=counts).count() == 3
+    assert url_filter.vocabulary(df.limit(0)) == {}
+
+
 def test_structure_does_not_outweigh_a_name():
     m = url_filter.model()
     for sub in ("", "blog.", "www.", "m.", "news.", "www.blog.", "shop."):
