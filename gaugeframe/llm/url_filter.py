@@ -30,7 +30,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, worker_memo
+from .common import materialise, per_text, worker_memo
 
 #: The rules of the contract, (host, path prefix, verdict).
 RULES = [
@@ -93,7 +93,7 @@ def vocabulary(pages: DataFrame, url_col="url", html_col="html", least_share: fl
     path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "://[^/?#]*([^?#]*)", 1)
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), MARKUP, " ")
     words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", text, path)), "[^a-z]+")).alias("w")).where(F.length("w").between(2, 24))
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    counts = materialise(words.groupBy("w").agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {r.w: r.n for r in counts.where((F.col("n") >= 2) & (F.col("n") >= least_share * total)).collect()}
 

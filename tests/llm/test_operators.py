@@ -662,6 +662,31 @@ def test_license_versions(spark):
         assert [x for x in r["labels"].split(",") if x not in license.PHRASES] == [every[r["doc_id"]][0]] and r["score"] == 1
 
 
+def test_license_sql_on_edited_texts(spark):
+    """Whole licence texts with words lost, put in and swapped, beside the registered SQL."""
+    import duckdb
+
+    from gaugeframe.llm.oracle import ORACLES
+
+    from ..compare import bag
+
+    rng, data = np.random.default_rng(6), []
+    for _, label, words, _ in license.template_rows(license.TEMPLATES, 4):
+        for share in (0, 0.02, 0.06, 0.2):
+            w = [x if rng.random() >= share else rng.choice([f"other {x}", "", "else"]) for x in words]
+            data.append((len(data), " ".join(["before this"] * int(rng.integers(0, 9)) + w + ["and after"] * 3)))
+    data += [(900, None), (901, ""), (901, ""), (902, "CC-BY all rights reserved general Public\nLicense cc by"), (903, "\u212a licensed under the MIT licen\u017fe")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = license.scan(df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"text": object}).where(lambda d: d.notna(), None))
+    rel = con.sql(ORACLES["op8_license_scan"])
+    assert bag(out.columns, out.collect()) == bag(rel.columns, rel.fetchall())
+    got = {r["doc_id"]: r["labels"].split(",") for r in rows(out)}
+    names = [label for _, label, _, _ in license.template_rows(license.TEMPLATES, 4)]
+    assert all(label in got[4 * i] and label in got[4 * i + 1] for i, label in enumerate(names) if len(license.template_rows(license.TEMPLATES, 4)[i][2]) > 40)
+
+
 # 9 BPE
 @given(st.text(max_size=80))
 @settings(max_examples=300, deadline=None)
