@@ -1,4 +1,12 @@
-"""A corpus pipeline: quality rules, language ID, near-duplicates, packing."""
+"""A corpus pipeline: quality rules, language ID, near-duplicates, packing.
+
+Defined cases: a null or blank text fails the quality rules; null languages and sources only
+leave their row out of what is learned of languages, and make a host of their own; a row
+without an id goes through and, in near-dedup, stands for the documents of its text; of
+repeated rows near-dedup keeps one; documents with equal limits or lengths are treated alike,
+whatever their order, and a group of near-duplicates keeps its smallest id; a text of any
+length is handled whole; columns other than id, text, lang, source and n_chars are passed on,
+whatever their names, up to packing; an empty table gives an empty result."""
 
 from __future__ import annotations
 
