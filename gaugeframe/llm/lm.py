@@ -335,7 +335,7 @@ def _count(blocks: DataFrame, buckets: int, fanout: int, bits: int) -> DataFrame
 
 
 def score_documents(
-    docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", text_col="text", block_bytes=1 << 23, bucket_bytes=1 << 23, fanout=1024, weights: np.ndarray | None = None
+    docs: DataFrame, modulus=5, remainder=1, id_col="doc_id", text_col="text", block_bytes=1 << 22, bucket_bytes=1 << 22, fanout=1024, weights: np.ndarray | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     (add-half unigrams, of all training tokens) and score (the model's), both log10 of the text.
@@ -346,6 +346,7 @@ def score_documents(
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits = min(64, 22 + max(1, size).bit_length())  # under 3 keys for 2 bytes; one bit tells kinds apart
     answers = _count(blocks, max(1, -(-size // bucket_bytes)), fanout, bits)
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the files of the counting shuffle, which nothing reads any more
     totals = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
 
     def counted(a: pa.Table) -> np.ndarray:
