@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.tables import materialise, release, shared_dir
 
-__all__ = ["ASCII_SPACE", "give_back", "holdout", "let", "materialise", "per_text", "release", "shared_dir", "ship", "small", "table", "worker_memo"]
+__all__ = ["ASCII_SPACE", "forget_shuffles", "give_back", "holdout", "let", "materialise", "per_text", "release", "shared_dir", "ship", "small", "table", "worker_memo"]
 
 #: ASCII white space: what separates words in the contracts of operators 4, 5 and 6.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -65,6 +65,13 @@ def give_back() -> None:
         trim(0)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that no table refers to any more, now rather than at some
+    later collection of garbage: Python's references go first, then the driver's."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(batches, rows: int = 1000):
     """The batches in slices of at most so many rows: what Python makes of one stays small."""
     for b in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import give_back, holdout, materialise, ship, small
+from .common import forget_shuffles, give_back, holdout, materialise, ship, small
 
 #: Fixed names of the end token, and of the context before the first word.  No word holds a blank.
 END, START = b" end", b" start"
@@ -346,8 +346,8 @@ def score_documents(
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits = min(64, 22 + max(1, size).bit_length())  # under 3 keys for 2 bytes; one bit tells kinds apart
     answers = _count(blocks, max(1, -(-size // bucket_bytes)), fanout, bits)
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the files of the counting shuffle, which nothing reads any more
     totals = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
+    forget_shuffles(docs.sparkSession)  # nothing reads the counting shuffle any more
 
     def counted(a: pa.Table) -> np.ndarray:
         """Counts of the block's keys in the retained part and in that put aside."""
