@@ -10,7 +10,7 @@ texts and paths, and keeps those that are at least ``least_share`` of all, so at
 1 / least_share of them, whatever the corpus; half of the probability is the labelled
 examples'.  What no word explains is a run, which costs by its length.  Two letters are a
 word only between longer ones (``houseofcards``): they fit anywhere else.  Naive Bayes is
-fitted to the labelled table below, about 350 names and paths; words outside it say nothing.
+fitted to the labelled table below, about 230 names and paths; words outside it say nothing.
 
 Work is a map over the rows, with a memo of hosts in each task: no shuffle but that of the
 word counts, pre-aggregated, so a hot host costs nothing.  Defined cases: null or no ``://``
