@@ -8,7 +8,9 @@ gives the two tokens back; that is memoised, and a position found dead is never
 again, so a piece takes linear time.  The result equals the exact rank-by-rank merges.
 
 Defined cases: a null text is the empty one, which has no tokens and decodes to no bytes;
-repeated rows each get a row; columns other than the id and the text are ignored.
+a null id is kept; a text of any length is encoded whole, piece by piece; matches that begin
+together are of different lengths, so nothing ties; repeated rows each get a row; columns other
+than the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

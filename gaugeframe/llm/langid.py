@@ -12,8 +12,10 @@ Since the softmax is linear, a text's logits are the mean of its words' logits:
 memoises them per word and never holds more than one batch of texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0 and rejected;
-without any labelled row every row is; rows with a null lang teach nothing; repeated rows
-each get a row; columns other than id, text and lang are ignored.
+without any labelled row every row is; rows with a null lang teach nothing; a text of any length
+counts whole; languages of equal probability go to the first in their names' order; repeated rows
+each get a row; columns other than id, text and lang are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ lines of a host pass the limit grows with the host, so no list of them is joined
 documents: each document gets the list of its own lines over the limits.
 
 Defined cases: null or blank text has no words, hence fails the base rules; a null host is
-a host of its own; repeated rows each get a row; an empty table gives an empty result;
+a host of its own; a text of any length is read whole; a line in exactly ``min_docs`` texts is
+over the limit, and a document with exactly ``min_left`` of its words stays; repeated rows each get a row; an empty table gives an empty result;
 other columns, whatever their names, are ignored.
 """
 
